@@ -2,13 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, packing, secrets
+from . import bpe, lines, nearest, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +33,10 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_secrets, op7_packing, op8_lines)}
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_bpe, op5_secrets, op7_packing, op8_lines, op9_nearest)}
 
 ORACLE_SQL: dict[str, str] = {}
