@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, nearest, packing, secrets, toxicity
+from . import bpe, langid, lines, nearest, packing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_bpe, op5_secrets, op7_packing, op8_lines, op9_nearest)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_bpe, op5_secrets, op7_packing, op8_lines, op9_nearest, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}
