@@ -2,13 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, nearest, packing, secrets, toxicity
+from . import bpe, langid, lines, nearest, packing, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_bpe, op5_secrets, op7_packing, op8_lines, op9_nearest, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_bpe, op5_secrets, op7_packing, op8_lines, op9_nearest, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -141,3 +141,17 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64) if h.dtype == np.uint64 else h.astype(np.int64)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes stored tables that nothing needs any more, and lets Spark drop the
+    shuffle files of plans that are gone (it does so when the driver's garbage is collected)."""
+    import gc
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for table in tables:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(table.inputFiles()[0])) if table.inputFiles() else None
+        if folder is not None and folder.getName().startswith("plexa-"):
+            folder.getFileSystem(conf).delete(folder, True)
+    gc.collect()
+    spark._jvm.System.gc()
