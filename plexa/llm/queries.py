@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, nearest, packing, secrets, substrings, toxicity
+from . import bpe, langid, lines, nearest, neardup, packing, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_bpe, op5_secrets, op7_packing, op8_lines, op9_nearest, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_bpe, op4_neardup, op5_secrets, op7_packing, op8_lines, op9_nearest, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}
