@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import chunks, plain
+from .text import Units, chunks, plain
 
-#: Distinct pieces that a task remembers before it starts anew.
-REMEMBERED = 500_000
+#: Units that a task remembers before it starts anew.
+REMEMBERED = 800_000
+#: Distinct pieces of one replay.
+SLICE = 2048
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,17 +43,20 @@ class MergeReplay:
         self.split = regex.compile(pattern).findall
         self.bytes = np.array([*(ranks[bytes([i])] for i in range(256)), -1])
         self.byte_pairs = np.full((257, 257), -1, np.int32)
-        self.pairs = {}
+        self.right = [{} for _ in range(max(ranks.values()) + 1)]  # left token -> right token -> rank
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.pairs[a << 32 | b] = rank
+                    self.right[a][b] = rank
             if len(token) == 2:
                 self.byte_pairs[token[0], token[1]] = rank
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece, after replaying the merges over all of them."""
+        """Ids of each piece; the merges are replayed over slices that stay in the processor's cache."""
+        return [ids for at in range(0, len(pieces), SLICE) for ids in self._replayed(pieces[at : at + SLICE])]
+
+    def _replayed(self, pieces: list[str]) -> list[list[int]]:
         out: list = [None] * len(pieces)
         spans, parts, at = [], [], 1
         ranks = self.ranks
@@ -76,35 +81,39 @@ class MergeReplay:
         index = {rank: places.tolist() for rank, places in zip(starts.tolist(), np.split(where, begin[1:]), strict=False)}
         after = list(range(1, len(token) + 1))
         before = list(range(-1, len(token) - 1))
-        pairs = self.pairs
+        makes = [*first.tolist(), -1]  # the rank that the pair begun at a position makes; -1: none
+        right = self.right
         order = list(index)
         heapq.heapify(order)
         while order:
             rank = heapq.heappop(order)
+            after_rank = right[rank]
             for i in sorted(index.pop(rank)):
-                a = token[i]
-                if a < 0:
-                    continue
-                j = after[i]
-                b = token[j]
-                if b < 0 or pairs.get(a << 32 | b) != rank:
+                if makes[i] != rank:
                     continue  # an earlier merge took one of the two
+                j = after[i]
+                k = after[j]
                 token[i] = rank
                 token[j] = -2
-                k = after[j]
+                makes[j] = -1
                 after[i] = k
                 before[k] = i
-                if (c := token[k]) >= 0 and (new := pairs.get(rank << 32 | c)) is not None:
-                    if new not in index:
-                        index[new] = []
+                makes[i] = new = after_rank.get(token[k], -1)
+                if new >= 0:
+                    if (places := index.get(new)) is None:
+                        index[new] = [i]
                         heapq.heappush(order, new)
-                    index[new].append(i)
+                    else:
+                        places.append(i)
                 h = before[i]
-                if (c := token[h]) >= 0 and (new := pairs.get(c << 32 | rank)) is not None:
-                    if new not in index:
-                        index[new] = []
-                        heapq.heappush(order, new)
-                    index[new].append(h)
+                if (c := token[h]) >= 0:
+                    makes[h] = new = right[c].get(rank, -1)
+                    if new >= 0:
+                        if (places := index.get(new)) is None:
+                            index[new] = [h]
+                            heapq.heappush(order, new)
+                        else:
+                            places.append(h)
         for k, start, end in spans:
             out[k] = [t for t in token[start:end] if t >= 0]
         return out
@@ -132,22 +141,19 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 def _mapped(docs: DataFrame, rank_file: str, pattern: str, digest: bool) -> DataFrame:
     def run(batches):
         replay = MergeReplay(read_ranks(rank_file), pattern)
-        known: dict[str, tuple] = {}
+
+        def made(texts):
+            ids = replay.encode(texts)
+            return [("".join([f" {i}" for i in x]), replay.decode(x)) for x in ids] if digest else ids
+
+        units = Units(made, REMEMBERED)
         for chunk in chunks(batches, limit=6 << 20):
-            split = [replay.split(t) for t in chunk.column("text").to_pylist()]
-            distinct = set().union(*split)
-            if len(known) + len(distinct) > REMEMBERED:
-                known.clear()
-            fresh = [p for p in distinct if p not in known]
-            for piece, ids in zip(fresh, replay.encode_pieces(fresh), strict=True):
-                known[piece] = (" ".join(map(str, ids)), replay.decode(ids)) if digest else ids
             out = []
-            for pieces in split:
-                found = [known[p] for p in pieces]
+            for found in units(chunk.column("text").to_pylist()):
                 if digest:
-                    ids = " ".join([x[0] for x in found])
+                    ids = "".join([x[0] for x in found])
                     raw = b"".join([x[1] for x in found])
-                    out.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+                    out.append((ids.count(" "), hashlib.sha256(ids[1:].encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
                 else:
                     out.append([i for ids in found for i in ids])
             if digest:

@@ -171,6 +171,22 @@ def _words(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return plain(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, words binary")
 
 
+def _shared(words: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, shared: how many of a text's k-mers another text of ``ids`` holds as well."""
+
+    def run(batches):
+        for batch in batches:
+            for id_, raw in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                w = np.frombuffer(raw, np.uint32).astype(np.uint64)
+                h, times = np.unique(_kmers(w, np.array([0, len(w)]), k)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), id_)), pa.array(signed(h)), pa.array(times)], ["id", "kmer", "times"])
+
+    held = words.join(ids, words["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, kmer long, times long")
+    held = stored(held, "kmers")
+    twice = held.groupBy("kmer").agg(F.count("*").alias("texts")).where("texts > 1").select("kmer")
+    return held.join(twice, "kmer").groupBy("id").agg(F.sum("times").alias("shared"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and class_id (least id) of every end of ``links`` (a, b): least labels spread over
     the links, then over the labels themselves, until nothing changes."""
@@ -209,9 +225,12 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     member = buckets.join(label, "id", "left").select("key", "id", "size", F.coalesce("class_id", "id").alias("class_id"))
     mixed = member.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("key")
     member = stored(member.join(mixed, "key", "left_semi"), "members")
-    x, y = (member.select("key", F.col("id").alias(n), F.col("size").alias(f"{n}_size"), F.col("class_id").alias(f"{n}_class")) for n in "ab")
-    rest = x.join(y, "key").where("a < b and a_class != b_class").where(fits(F.col("a_size"), F.col("b_size"))).select("a", "b").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
+    open_ = stored(_shared(words, member.select("id").distinct(), k), "shared")
+    member = member.join(open_, "id").where(F.col("shared") >= similarity * F.col("size"))
+    x, y = (member.select("key", *(F.col(c).alias(n + c) for c in ("id", "size", "class_id", "shared"))) for n in "ab")
+    reach = F.least("ashared", "bshared") * (1 + similarity) >= similarity * (F.col("asize") + F.col("bsize"))
+    rest = x.join(y, "key").where("aid < bid and aclass_id != bclass_id").where(reach)
+    rest = rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = stored(_aligned(rest, words, k, similarity), "aligned")
     if not more.isEmpty():
         links = links.unionAll(more)
@@ -224,7 +243,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
     out = stored(out, "classes")
-    release(spark, every, texts, buckets, words, star, member)
+    release(spark, every, texts, buckets, words, star, open_)
     return out
 
 

@@ -15,21 +15,22 @@ whole; only documents over the capacity are cut. No pieces give no rows.
 
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, plain, stored
+from .text import Units, chunks, plain, stored
 
 CAPACITY = 2048
 #: Pieces that one task plans at a time.
 GROUP = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
-def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end: int = 0, ids: bool = True, capacity: int = CAPACITY) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_file: str, end: int = 0, ids: bool = True, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of the pieces of every document.
 
     A document is its text's ids (of the ``tokenizers`` file, no special tokens) and
@@ -38,25 +39,16 @@ def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end: int = 0,
     """
 
     def run(batches):
-        import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.encode_special_tokens = True
-        split = regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
-        last = np.array([end], "<u4").tobytes()
-        for chunk in chunks(batches):
+        units = Units(lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], REMEMBERED)
+        last = array("I", [end]).tobytes()
+        for chunk in chunks(batches, limit=6 << 20):
             rows = []
-            for doc, text in zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True):
-                words = split(text)
-                if fresh := [w for w in dict.fromkeys(words) if w not in known]:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                        fresh = list(dict.fromkeys(words))
-                    for word, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                        known[word] = np.array(got.ids, "<u4").tobytes()
-                raw = b"".join([known[w] for w in words]) + last
+            for doc, values in zip(chunk.column("doc_id").to_pylist(), units(chunk.column("text").to_pylist()), strict=True):
+                raw = b"".join(values) + last
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 for piece, to in enumerate(range(first, n + 1, capacity)):
@@ -136,14 +128,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
-def packed(docs: DataFrame, tokenizer_file: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """Each piece's place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(stored(tokenized(docs, tokenizer_file, pattern, ids=False, capacity=capacity), "pieces"), capacity)
+    return pack(stored(tokenized(docs, tokenizer_file, ids=False, capacity=capacity), "pieces"), capacity)
 
 
-def sequences(docs: DataFrame, tokenizer_file: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def sequences(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id, n_tokens, ids, doc_ids."""
-    pieces = stored(tokenized(docs, tokenizer_file, pattern, capacity=capacity), "pieces")
+    pieces = stored(tokenized(docs, tokenizer_file, capacity=capacity), "pieces")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return (
         pack(pieces, capacity).groupBy("sequence_id").agg(ordered.alias("p"), F.sum("length").alias("n_tokens"))

@@ -1,8 +1,9 @@
 """The operators' queries over whole tables, and their SQL where there is one."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, nearest, neardup, packing, secrets, substrings, toxicity
+from . import bpe, langid, lines, mixing, nearest, neardup, packing, secrets, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scored(_table(spark, sf_dir, "documents"), toxicity.folds(F.col("doc_id"), 10) == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +54,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_bpe, op4_neardup, op5_secrets, op7_packing, op8_lines, op9_nearest, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_toxicity, op3_bpe, op4_neardup, op5_secrets, op6_mixing, op7_packing, op8_lines, op9_nearest, op10_langid)}
 
 ORACLE_SQL: dict[str, str] = {}

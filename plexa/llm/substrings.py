@@ -203,7 +203,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with the covered words, and the white space after each, cut out of the texts;
     n_chars, if there, follows. Null texts stay null."""
     found = repeats(docs, words)
-    columns = [c for c in docs.columns if c != "text"]
+    columns = docs.columns
 
     def run(batches):
         for chunk in chunks(batches):
@@ -218,10 +218,10 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     texts[i] = b"".join([raw[: own[0] - off[i]], *(raw[own[k] - off[i] : own[k + 1] - off[i]] for k in kept.tolist())]).decode()
             at = chunk.schema.get_field_index("text")
             out = chunk.set_column(at, "text", pa.array(texts, pa.string()))
-            yield out.select(docs.columns)
+            yield out.select(columns)
 
     tagged = docs.withColumn("_tag", F.hash("text"))
     found = found.select("doc_id", F.col("tag").alias("_tag"), "covered")
-    joined = tagged.join(found, ["doc_id", "_tag"], "left").select(*docs.columns, "covered")
+    joined = tagged.join(found, ["doc_id", "_tag"], "left").select(*columns, "covered")
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

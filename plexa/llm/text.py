@@ -155,3 +155,42 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
             folder.getFileSystem(conf).delete(folder, True)
     gc.collect()
     spark._jvm.System.gc()
+
+
+class Units:
+    """What a tokenizer makes of texts, worked out once for each unit that recurs.
+
+    Tokenizers whose pattern lets a single space begin a piece, and no piece hold
+    a space otherwise, always part a text before a single space between other
+    characters. So the parts between such spaces (units) are encoded by themselves and
+    remembered. Texts with other white space beside a space are encoded whole.
+    ``encode`` turns a list of texts into a list of values; a call gives the
+    values that a text's value is the concatenation of. At most ``limit`` units
+    are remembered.
+    """
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self.heads: dict = {}
+        self.known: dict = {}
+
+    def _learn(self, known: dict, units: set, lead: str, good) -> None:
+        fresh = [u for u in units if u not in known]
+        if len(known) + len(fresh) > self.limit:
+            known.clear()
+            fresh = list(units)
+        known.update(dict.fromkeys(fresh))
+        fresh = [u for u in fresh if good(u)]
+        known.update(zip(fresh, self.encode([lead + u for u in fresh]), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[list]:
+        split = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in split]
+        self._learn(self.heads, set(heads), "", lambda u: not u[-1:].isspace())
+        self._learn(self.known, set().union(*split), " ", lambda u: u and not u[0].isspace() and not u[-1].isspace())
+        out, known = [], self.known
+        for text, head, rest in zip(texts, heads, split, strict=True):
+            values = [known[u] for u in rest]
+            first = self.heads[head]
+            out.append(self.encode([text]) if first is None or None in values else [first, *values])
+        return out
