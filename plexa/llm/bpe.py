@@ -22,8 +22,8 @@ from .text import Units, chunks, plain
 
 #: Units that a task remembers before it starts anew.
 REMEMBERED = 800_000
-#: Distinct pieces of one replay.
-SLICE = 2048
+#: Distinct pieces of one replay at most.
+SLICE = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,17 +43,24 @@ class MergeReplay:
         self.split = regex.compile(pattern).findall
         self.bytes = np.array([*(ranks[bytes([i])] for i in range(256)), -1])
         self.byte_pairs = np.full((257, 257), -1, np.int32)
-        self.right = [{} for _ in range(max(ranks.values()) + 1)]  # left token -> right token -> rank
+        pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    self.right[a][b] = rank
+                    pairs[a << 32 | b] = rank
             if len(token) == 2:
                 self.byte_pairs[token[0], token[1]] = rank
+        self.keys, self.made = (np.array(x) for x in zip(*sorted(pairs.items()), strict=True))
+
+    def _made(self, left, right) -> np.ndarray:
+        """Ranks that pairs of tokens make; -1: none."""
+        key = np.bitwise_or(np.left_shift(left, 32), right)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (np.minimum(left, right) >= 0), self.made[at], -1)
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; the merges are replayed over slices that stay in the processor's cache."""
+        """Ids of each piece, after replaying the merges over all of them."""
         return [ids for at in range(0, len(pieces), SLICE) for ids in self._replayed(pieces[at : at + SLICE])]
 
     def _replayed(self, pieces: list[str]) -> list[list[int]]:
@@ -73,49 +80,60 @@ class MergeReplay:
         inside = np.ones(at, bool)
         inside[[0, *(end for _, _, end in spans)]] = False
         code[inside] = np.frombuffer(b"".join(parts), np.uint8)
-        token = self.bytes[code].tolist()  # -1: a border; -2: merged into an earlier one
-        first = self.byte_pairs[code[:-1], code[1:]]
-        where = np.flatnonzero(first >= 0)
-        where = where[np.argsort(first[where], kind="stable")]
-        starts, begin = np.unique(first[where], return_index=True)
-        index = {rank: places.tolist() for rank, places in zip(starts.tolist(), np.split(where, begin[1:]), strict=False)}
-        after = list(range(1, len(token) + 1))
-        before = list(range(-1, len(token) - 1))
-        makes = [*first.tolist(), -1]  # the rank that the pair begun at a position makes; -1: none
-        right = self.right
-        order = list(index)
-        heapq.heapify(order)
+        token = self.bytes[code]  # -1: a border; -2: merged into an earlier one
+        makes = np.append(self.byte_pairs[code[:-1], code[1:]], -1)  # rank of the pair begun here; -1: none
+        after, before = np.arange(1, at + 1), np.arange(-1, at - 1)
+        index: dict[int, list] = {}
+        order: list[int] = []
+
+        def enter(ranks, places):
+            by_rank = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[by_rank], places[by_rank]
+            first = np.flatnonzero(np.diff(ranks, prepend=-1))
+            for rank, some in zip(ranks[first].tolist(), np.split(places, first[1:]), strict=False):
+                if (known := index.get(rank)) is None:
+                    index[rank] = [some]
+                    heapq.heappush(order, rank)
+                else:
+                    known.append(some)
+
+        where = np.flatnonzero(makes >= 0)
+        enter(makes[where], where)
+        taken = np.zeros(at, bool)
         while order:
             rank = heapq.heappop(order)
-            after_rank = right[rank]
-            for i in sorted(index.pop(rank)):
-                if makes[i] != rank:
-                    continue  # an earlier merge took one of the two
-                j = after[i]
-                k = after[j]
-                token[i] = rank
-                token[j] = -2
-                makes[j] = -1
-                after[i] = k
-                before[k] = i
-                makes[i] = new = after_rank.get(token[k], -1)
-                if new >= 0:
-                    if (places := index.get(new)) is None:
-                        index[new] = [i]
-                        heapq.heappush(order, new)
-                    else:
-                        places.append(i)
-                h = before[i]
-                if (c := token[h]) >= 0:
-                    makes[h] = new = right[c].get(rank, -1)
-                    if new >= 0:
-                        if (places := index.get(new)) is None:
-                            index[new] = [h]
-                            heapq.heappush(order, new)
-                        else:
-                            places.append(h)
+            i = index.pop(rank)
+            i = i[0] if len(i) == 1 else np.unique(np.concatenate(i))
+            i = i[makes[i] == rank]  # else an earlier merge took one of the two
+            if not len(i):
+                continue
+            j = after[i]
+            taken[i] = True
+            overlaps = taken[j].any()
+            taken[i] = False
+            if overlaps:  # from left to right, as "aaa" is "aa", "a"
+                keep, last = np.ones(len(i), bool), -1
+                for n, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                    keep[n] = x != last
+                    last = y if x != last else -1
+                i, j = i[keep], j[keep]
+            k = after[j]
+            token[i], token[j] = rank, -2
+            makes[j] = -1
+            after[i], before[k] = k, i
+            h = before[i]
+            left, right = token[h], token[k]
+            makes[i] = onward = self._made(rank, right)
+            behind = self._made(left, rank)
+            inside = left >= 0
+            makes[h[inside]] = behind[inside]
+            new, places = np.concatenate([onward, behind]), np.concatenate([i, h])
+            some = new >= 0
+            if some.any():
+                enter(new[some], places[some])
+        tokens = token.tolist()
         for k, start, end in spans:
-            out[k] = [t for t in token[start:end] if t >= 0]
+            out[k] = [t for t in tokens[start:end] if t >= 0]
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
