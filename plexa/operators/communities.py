@@ -83,7 +83,7 @@ def bridges(graph: Graph) -> DataFrame:
     found = None
     while True:
         deg = simple.select(F.col("src").alias("id")).unionAll(simple.select("dst")).groupBy("id").agg(F.count("*").alias("d")).where("d = 1").select("id")
-        leaves = cut(simple.join(deg.withColumnRenamed("id", "src"), "src", "left_semi").unionAll(simple.join(deg.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct())
+        leaves = cut(simple.join(deg.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(simple.join(deg.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct())
         if leaves.isEmpty():
             break
         found = leaves if found is None else found.unionAll(leaves)

@@ -65,10 +65,10 @@ def reciprocity(graph: Graph) -> DataFrame:
     return _filled(graph, mutual(graph).groupBy(F.col("src").alias("id")).agg(F.avg(F.col("mutual").cast("double")).alias("value")))
 
 
-def pagerank(graph: Graph, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 5) -> DataFrame:
+def pagerank(graph: Graph, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """A fixed number of rounds from 1/n; the mass of vertices without out-edges is spread
     evenly; weights don't count. Undirected graphs give the degree. Edges stay
-    partitioned by source; lineage is cut every few rounds."""
+    partitioned by source; lineage is cut every round, as a round reads the last one thrice."""
     if not graph.directed:
         return degree(graph)
     n = graph.size
@@ -77,13 +77,11 @@ def pagerank(graph: Graph, rounds: int = ROUNDS, damping: float = DAMPING, every
     out = outdegree(graph).withColumnRenamed("value", "out")
     rank = cut(out.withColumn("value", F.lit(1.0 / n)))
     links = graph.edges.select("src", "dst").repartition("src").cache()
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         loose = rank.where("out = 0").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("loose"))
         flow = links.join(rank.where("out > 0").select(F.col("id").alias("src"), (F.col("value") / F.col("out")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("flow"))
         new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)
-        rank = rank.select("id", "out").join(flow, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", new.alias("value"))
-        if k % every == 0:
-            rank = cut(rank)
+        rank = cut(rank.select("id", "out").join(flow, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", new.alias("value")))  # loose: one row
     links.unpersist()
     return rank.select("id", "value")
 

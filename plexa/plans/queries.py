@@ -531,7 +531,7 @@ def color_edge_reciprocity(spark, sf_dir):
 
 # ---- layout and spectrum
 
-_PLACES = "at AS (SELECT id, CAST(id * 37 % 101 AS DOUBLE) AS x, CAST(id * 53 % 97 AS DOUBLE) AS y FROM v), k AS (SELECT sqrt(10000 / sqrt(count(*))) AS k FROM v)"
+_PLACES = "pl AS (SELECT id, CAST(id * 37 % 101 AS DOUBLE) AS x, CAST(id * 53 % 97 AS DOUBLE) AS y FROM v), k AS (SELECT sqrt(10000 / sqrt(count(*))) AS k FROM v)"
 
 
 def _places(g: Graph) -> DataFrame:
@@ -539,9 +539,9 @@ def _places(g: Graph) -> DataFrame:
 
 
 @query(
-    f"WITH {SUCCESSION}, {_PLACES}, rep AS (SELECT a.id, sum((a.x - b.x) * k * k / greatest((a.x - b.x)**2 + (a.y - b.y)**2, 1e-4)) AS fx, sum((a.y - b.y) * k * k / greatest((a.x - b.x)**2 + (a.y - b.y)**2, 1e-4)) AS fy FROM at a JOIN at b ON a.id <> b.id CROSS JOIN k GROUP BY a.id), "
-    "att AS (SELECT a.id, sum((b.x - a.x) * greatest(sqrt((a.x - b.x)**2 + (a.y - b.y)**2), 0.01) / k) AS ax, sum((b.y - a.y) * greatest(sqrt((a.x - b.x)**2 + (a.y - b.y)**2), 0.01) / k) AS ay FROM adj JOIN at a ON a.id = adj.id JOIN at b ON b.id = adj.nbr CROSS JOIN k GROUP BY a.id), "
-    "f AS (SELECT at.id, x, y, fx + ax - 0.05 * x AS dx, fy + ay - 0.05 * y AS dy FROM at JOIN rep USING (id) JOIN att USING (id)) "
+    f"WITH {SUCCESSION}, {_PLACES}, rep AS (SELECT a.id, sum((a.x - b.x) * k * k / greatest((a.x - b.x)**2 + (a.y - b.y)**2, 1e-4)) AS fx, sum((a.y - b.y) * k * k / greatest((a.x - b.x)**2 + (a.y - b.y)**2, 1e-4)) AS fy FROM pl a JOIN pl b ON a.id <> b.id CROSS JOIN k GROUP BY a.id), "
+    "att AS (SELECT a.id, sum((b.x - a.x) * greatest(sqrt((a.x - b.x)**2 + (a.y - b.y)**2), 0.01) / k) AS ax, sum((b.y - a.y) * greatest(sqrt((a.x - b.x)**2 + (a.y - b.y)**2), 0.01) / k) AS ay FROM adj JOIN pl a ON a.id = adj.id JOIN pl b ON b.id = adj.nbr CROSS JOIN k GROUP BY a.id), "
+    "f AS (SELECT pl.id, x, y, fx + ax - 0.05 * x AS dx, fy + ay - 0.05 * y AS dy FROM pl JOIN rep USING (id) JOIN att USING (id)) "
     "SELECT id, round_even(x + dx / greatest(sqrt(dx * dx + dy * dy), 0.01) * least(greatest(sqrt(dx * dx + dy * dy), 0.01), 50), 5) AS x, round_even(y + dy / greatest(sqrt(dx * dx + dy * dy), 0.01) * least(greatest(sqrt(dx * dx + dy * dy), 0.01), 50), 5) AS y FROM f"
 )
 def layout_step(spark, sf_dir):
@@ -550,18 +550,18 @@ def layout_step(spark, sf_dir):
     return moved.select("id", F.bround("x", 5).alias("x"), F.bround("y", 5).alias("y"))
 
 
-@query(f"WITH {SUCCESSION}, {_PLACES} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM at")
+@query(f"WITH {SUCCESSION}, {_PLACES} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM pl")
 def layout_bounds(spark, sf_dir):
     return ordering.box(_places(tables.succession(spark, sf_dir)))
 
 
-@query(f"WITH {SUCCESSION}, {_PLACES} SELECT id // 4 AS coarse_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM at GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {SUCCESSION}, {_PLACES} SELECT id // 4 AS coarse_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM pl GROUP BY 1 HAVING count(*) > 1")
 def group_boxes(spark, sf_dir):
     at = _places(tables.succession(spark, sf_dir))
     return ordering.group_boxes(at, at.select(F.col("id").alias("fine_id"), F.floor(F.col("id") / 4).alias("coarse_id")))
 
 
-@query(f"WITH {SUCCESSION}, {_PLACES} SELECT id FROM at WHERE x * 2 - 30 BETWEEN 0 AND 80 AND y * 2 - 30 BETWEEN 10 AND 90")
+@query(f"WITH {SUCCESSION}, {_PLACES} SELECT id FROM pl WHERE x * 2 - 30 BETWEEN 0 AND 80 AND y * 2 - 30 BETWEEN 10 AND 90")
 def rubber_band(spark, sf_dir):
     return ordering.in_rectangle(ordering.on_screen(_places(tables.succession(spark, sf_dir)), 2.0, -30.0, -30.0), 0, 10, 80, 90)
 
