@@ -14,7 +14,7 @@ as a document, also if a doc_id is repeated. Texts are read whole.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, stored
+from .text import SPACE, fresh, stored
 
 LEAST_DOCS = 20
 SHARE = 0.3
@@ -120,9 +120,10 @@ def cleaned(docs: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE)
 
     Line places are kept as an array of hashes beside the text; only hashes travel.
     """
+    gone = fresh("_drop", docs)
     common = stored(boilerplate(docs, least_docs, share), "lines").select("line")
     squeezed = lambda x: F.trim(F.regexp_replace(F.lower(x), f"[{SPACE}]+", " "))
     lines = docs.select("doc_id", _host().alias("h"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    drop = lines.withColumn("line", F.xxhash64("h", squeezed(F.col("line")))).join(common, "line").groupBy("doc_id").agg(F.collect_set("at").alias("_drop"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("_drop", i), F.lit(False))), "\n")
-    return docs.join(drop, "doc_id", "left").withColumn("text", kept).drop("_drop").select(docs.columns)
+    drop = lines.withColumn("line", F.xxhash64("h", squeezed(F.col("line")))).join(common, "line").groupBy("doc_id").agg(F.collect_set("at").alias(gone))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False))), "\n")
+    return docs.join(drop, "doc_id", "left").withColumn("text", kept).select(docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Spans, chunks, flat, release, signed, stored, word_hashes, word_spans
+from .text import Spans, chunks, flat, fresh, release, signed, stored, word_hashes, word_spans
 
 WORDS = 50
 INDEX_BITS = 30
@@ -173,9 +173,9 @@ def _kept(words: int, n_words: int, covered) -> np.ndarray:
     return np.cumsum(gone[:-1]) == 0
 
 
-def _spans_of(chunk):
+def _spans_of(chunk, name: str = "covered"):
     """Covered runs of each row, as arrays, or None."""
-    column = chunk.column("covered")
+    column = chunk.column(name)
     at, n = (column.flatten().field(k).to_numpy() for k in ("at", "n"))
     sizes = np.diff(column.offsets.to_numpy()) * np.array(column.is_valid())
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -203,14 +203,14 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with the covered words, and the white space after each, cut out of the texts;
     n_chars, if there, follows. Null texts stay null."""
     found = repeats(docs, words)
-    columns = docs.columns
+    columns, tag, runs = docs.columns, fresh("_tag", docs), fresh("_covered", docs)
 
     def run(batches):
         for chunk in chunks(batches):
             texts = chunk.column("text").to_pylist()
             data, off = flat(chunk.column("text"))
             start, _, bounds = word_spans(data, off)
-            for i, covered in enumerate(_spans_of(chunk)):
+            for i, covered in enumerate(_spans_of(chunk, runs)):
                 if covered is not None:
                     own = np.append(start[bounds[i] : bounds[i + 1]], off[i + 1])
                     kept = np.flatnonzero(_kept(words, len(own) - 1, covered))
@@ -220,8 +220,8 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
             out = chunk.set_column(at, "text", pa.array(texts, pa.string()))
             yield out.select(columns)
 
-    tagged = docs.withColumn("_tag", F.hash("text"))
-    found = found.select("doc_id", F.col("tag").alias("_tag"), "covered")
-    joined = tagged.join(found, ["doc_id", "_tag"], "left").select(*columns, "covered")
+    tagged = docs.withColumn(tag, F.hash("text"))
+    found = found.select("doc_id", F.col("tag").alias(tag), F.col("covered").alias(runs))
+    joined = tagged.join(found, ["doc_id", tag], "left").select(*columns, runs)
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -1,0 +1,19 @@
+"""The corpus pipeline end to end on the smallest table."""
+
+import os
+
+import pytest
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_run(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert 0 < len(ids) < docs.count()
+    assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
