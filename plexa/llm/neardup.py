@@ -33,6 +33,8 @@ PICKED = 3
 SKETCHES = 14
 SIMILARITY = 0.8
 PLACE_BITS = 24
+STARS = 2
+PARITY = 32
 
 
 def _kmers(words: np.ndarray, bounds: np.ndarray, k: int):
@@ -157,18 +159,34 @@ def _aligned(pairs: DataFrame, words: DataFrame, k: int, least: float) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def _words(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and words (32-bit hashes, as binary) of the documents in ``ids``."""
+def _parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, ``PARITY`` words of 64 bits: whether an odd number of its k-mers fall there."""
+    n, bits = len(offsets) - 1, 64 * PARITY
+    out = np.zeros((n, PARITY), np.int64)
+    for at in range(0, n, 1000):
+        to = min(n, at + 1000)
+        row = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
+        cell = row * bits + (h[offsets[at] : offsets[to]] % np.uint64(bits)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=(to - at) * bits) & 1).astype(np.uint8)
+        out[at:to] = np.packbits(odd.reshape(to - at, bits), axis=1).view(np.int64)
+    return out
+
+
+def _words(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, words (32-bit hashes, as binary) and parity (of the k-mers) of the documents in ``ids``."""
 
     def run(batches):
         for chunk in chunks(batches):
             data, off = flat(chunk.column("text"))
             start, end, bounds = word_spans(data, off)
-            h = (word_hashes(data, start, end) >> np.uint64(32)).astype(np.uint32)
+            h = word_hashes(data, start, end)
+            parity = _parity(*_kmers(h, bounds, k)[:2])
+            h = (h >> np.uint64(32)).astype(np.uint32)
             rows = [h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(rows, pa.binary()), pa.array(list(parity), pa.list_(pa.int64()))], ["doc_id", "words", "parity"])
 
-    return plain(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, words binary")
+    # a merge join at every size: ids grow with the documents
+    return plain(docs).join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, words binary, parity array<long>")
 
 
 def _shared(words: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -212,29 +230,65 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     full = every.where("size > 0 and doc_id is not null")
     texts = stored(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
     held = texts.select("id", "size", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("id").alias("first"), F.min_by("size", "id").alias("first_size"), F.count("*").alias("n")).where("n > 1").select("key", "first", "first_size")
+    shared = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = stored(held.join(shared, "key"), "buckets")
+    words = stored(_words(docs, buckets.select(F.col("id").alias("doc_id")).distinct(), k), "words")
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)  # noqa: E731  or the similarity can't be reached
-    star = buckets.where("id != first").where(fits(F.col("size"), F.col("first_size"))).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    words = stored(_words(docs, buckets.select(F.col("id").alias("doc_id")).distinct()), "words")
-    star = stored(star, "pairs")
-    links = stored(_aligned(star, words, k, similarity), "aligned")
     release(spark)
 
-    label = components(links)
-    member = buckets.join(label, "id", "left").select("key", "id", "size", F.coalesce("class_id", "id").alias("class_id"))
-    mixed = member.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("key")
-    member = stored(member.join(mixed, "key", "left_semi"), "members")
-    open_ = stored(_shared(words, member.select("id").distinct(), k), "shared")
-    member = member.join(open_, "id").where(F.col("shared") >= similarity * F.col("size"))
-    x, y = (member.select("key", *(F.col(c).alias(n + c) for c in ("id", "size", "class_id", "shared"))) for n in "ab")
-    reach = F.least("ashared", "bshared") * (1 + similarity) >= similarity * (F.col("asize") + F.col("bsize"))
-    rest = x.join(y, "key").where("aid < bid and aclass_id != bclass_id").where(reach)
-    rest = rest.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_aligned(rest, words, k, similarity), "aligned")
-    if not more.isEmpty():
-        links = links.unionAll(more)
+    # stars: a bucket's texts that are in no leader's class yet, against the first of them
+    links = tried = label = None
+    left = buckets
+    for _ in range(STARS):
+        lead = left.groupBy("key").agg(F.min("id").alias("a"), F.min_by("size", "id").alias("a_size"), F.count("*").alias("n")).where("n > 1").drop("n")
+        left = stored(left.join(lead, "key"), "stars")
+        star = left.where("id != a").where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b")).distinct()
+        star = stored(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if star.isEmpty():
+            break
+        found = stored(_aligned(star, words, k, similarity), "aligned")
+        links, tried = (found, star) if links is None else (links.unionAll(found), tried.unionAll(star))
         label = components(links)
+        own, led = label.select("id", "class_id"), label.select(F.col("id").alias("a"), F.col("class_id").alias("a_class"))
+        left = left.where("id != a").join(own, "id", "left").join(led, "a", "left")
+        left = left.where(F.coalesce("class_id", "id") != F.coalesce("a_class", "a")).select("key", "id", "size")
+        release(spark)
+
+    if links is None:
+        links = tried = spark.createDataFrame([], "a long, b long")
+        label = spark.createDataFrame([], "id long, class_id long")
+
+    def mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+        """``members`` of the buckets that hold several classes, with their classes."""
+        named = members.join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("key")
+        return named.join(several, "key", "left_semi")
+
+    def reach(x: str, y: str):
+        both = F.col(f"{x}size") + F.col(f"{y}size")
+        differ = sum((F.bit_count(F.get(f"{x}parity", F.lit(i)).bitwiseXOR(F.get(f"{y}parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+        return (F.least(f"{x}shared", f"{y}shared") * (1 + similarity) >= similarity * both) & (differ * (1 + similarity) <= (1 - similarity) * both)
+
+    member = stored(mixed(buckets, label), "members")
+    open_ = stored(_shared(words, member.select("id").distinct(), k), "shared")
+    member = stored(member.join(open_, "id").where(F.col("shared") >= similarity * F.col("size")).join(words.select(F.col("doc_id").alias("id"), "parity"), "id").select("key", "id", "size", "shared", "parity"), "open")
+
+    # members of a bucket's largest class, drawn by hash, lead twice more; then all pairs between classes
+    for step in range(3):
+        x, y = (mixed(member, label).select("key", *(F.col(c).alias(n + c) for c in ("id", "size", "class_id", "shared", "parity"))) for n in "ab")
+        if step < 2:
+            largest = x.groupBy("key", "aclass_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("aclass_id", F.struct("n", -F.col("aclass_id"))).alias("aclass_id"))
+            x = x.join(largest, ["key", "aclass_id"]).groupBy("key").agg(F.min_by(F.struct("aid", "asize", "aclass_id", "ashared", "aparity"), F.xxhash64("aid", F.lit(step))).alias("x")).select("key", "x.*")
+        pairs = x.join(y, "key").where("aclass_id != bclass_id").where(reach("a", "b"))
+        if step == 2:
+            pairs = pairs.where("aid < bid")
+        pairs = pairs.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        found = stored(_aligned(pairs, words, k, similarity), "aligned")
+        if not found.isEmpty():
+            links, tried = links.unionAll(found), tried.unionAll(pairs)
+            label = components(links)
+        release(spark)
     ends = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = texts.select("digest", "id").join(label, "id", "left").join(ends, "id", "left")
     out = every.join(named, "digest", "left").select(
@@ -243,11 +297,11 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
     out = stored(out, "classes")
-    release(spark, every, texts, buckets, words, star, open_)
+    release(spark, every, texts, buckets, words, member, open_)
     return out
 
 
 def dedup(docs: DataFrame, **more) -> DataFrame:
     """``docs`` with the least doc_id of each class; rows without a doc_id stay."""
     gone = classes(docs, **more).where("doc_id != class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
