@@ -11,6 +11,10 @@ from ..model import Graph
 from ..plans.iterate import cut, ranked
 
 
+#: Edges up to which a matching is made on the driver, which saves many small jobs.
+SMALL = 50_000
+
+
 class Strategy(Enum):
     RANDOM = "random"
     HEM = "hem"
@@ -30,7 +34,13 @@ def match(graph: Graph, strategy: Strategy = Strategy.HEM, seed: int = 42, thres
     weight = F.lit(0.0) if strategy is Strategy.RANDOM else F.col("weight")
     near = cut(graph.adj.where("id <> nbr").withColumn("key", F.struct(weight.alias("w"), chance.alias("h"), a.alias("a"), b.alias("b"))).groupBy("id", "nbr").agg(F.max("key").alias("key"), F.max("weight").alias("weight")))
     left, done = near, None
-    while True:
+    if graph.n_edges <= SMALL:  # the rounds' result is that of taking the best edges first
+        mate: dict[int, int] = {}
+        for r in near.where("id < nbr").orderBy(F.desc("key")).select("id", "nbr").collect():
+            if r["id"] not in mate and r["nbr"] not in mate:
+                mate[r["id"]], mate[r["nbr"]] = r["nbr"], r["id"]
+        done = graph.vertices.sparkSession.createDataFrame(list(mate.items()), "id long, partner long") if mate else None
+    while graph.n_edges > SMALL:
         choice = left.groupBy("id").agg(F.max_by("nbr", "key").alias("partner"))
         back = choice.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
         pairs = cut(choice.join(back, ["id", "partner"]))

@@ -31,16 +31,14 @@ def label_propagation(graph: Graph, sweeps: int = 50) -> DataFrame:
     wins. Ends when a sweep changes nothing."""
     adj = graph.adj.select("id", "nbr").repartition("nbr").cache()
     label = cut(graph.vertices.select("id", F.col("id").alias("label")))
-    for sweep in range(sweeps):
-        moved = False
+    for _ in range(sweeps):
+        before = label
         for half in (0, 1):
             votes = adj.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).join(label.select(F.col("id").alias("nbr"), F.col("label").alias("l")), "nbr").groupBy("id", "l").agg(F.count("*").alias("n"))
             own = votes.join(label, "id").withColumn("stay", F.col("l") == F.col("label"))
             best = own.groupBy("id").agg(F.max_by("l", F.struct("n", "stay", -F.col("l"))).alias("best"))
-            new = cut(label.join(best, "id", "left").select("id", F.coalesce("best", "label").alias("label"), F.col("label").alias("was")))
-            moved |= not new.where("label <> was").isEmpty()
-            label = new.select("id", "label")
-        if not moved:
+            label = cut(label.join(best, "id", "left").select("id", F.coalesce("best", "label").alias("label")))
+        if label.join(before.withColumnRenamed("label", "was"), "id").where("label <> was").isEmpty():
             break
     adj.unpersist()
     return renumbered(label, "label")

@@ -1,14 +1,16 @@
 """Balanced bisection and k-way partitions, multilevel.
 
 Coarsening, projection, gains and cuts are DataFrame plans; the coarsest graph,
-of at most ``coarse_limit`` vertices, is split on the driver. Refinement moves
+of about ``DRIVER`` vertices, is split on the driver. Refinement moves
 batches of vertices that aren't neighbours, in the order of their gain, and a pass
 is kept only if the cut shrinks (or the balance is repaired).
 """
 
 from __future__ import annotations
 
+import heapq
 import random
+from collections import deque
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,9 @@ from ..model import Graph, induced
 from ..plans.iterate import cut, ranked
 from .coarsen import Strategy, hierarchy
 
+#: Vertices to which a graph is coarsened, and below which it is split on the driver.
+DRIVER = 2000
+
 
 @dataclass(frozen=True)
 class Options:
@@ -149,8 +154,8 @@ def fm_refine(graph: Graph, side: DataFrame, options: Options) -> DataFrame:
 
 
 def initial(graph: Graph, options: Options) -> DataFrame:
-    """The best of greedy growths from several seeds and random fills, on the driver; for a
-    graph of few vertices."""
+    """The best of growths from several seeds and of random fills, each refined by passes of single
+    moves; on the driver, for at most 2 ``DRIVER`` vertices."""
     v = {r["id"]: r["vweight"] for r in _weights(graph).collect()}
     near: dict[int, dict[int, float]] = {i: {} for i in v}
     edges = [(r["src"], r["dst"], r["weight"]) for r in graph.edges.select("src", "dst", "weight").collect()]
@@ -161,43 +166,71 @@ def initial(graph: Graph, options: Options) -> DataFrame:
     ids, total = sorted(v), sum(v.values())
     target = options.split * total
     tries = []
+    low, high = target * (1 - options.tolerance), target * (1 + options.tolerance)
 
     def grow(seed: int) -> set[int]:
-        inside, todo, weight = set(), [seed], 0.0
-        waiting = set(ids)
-        while weight < target and waiting:
-            if not todo:
-                todo.append(min(waiting))
-            i = todo.pop(0)
-            if i not in waiting:
-                continue
-            waiting.discard(i)
-            if inside and weight + v[i] > 1.1 * target and weight >= 0.75 * target:
-                continue
-            inside.add(i)
-            weight += v[i]
-            todo += sorted(near[i])
+        """Breadth-first until the target's weight is reached."""
+        inside, waiting, todo, weight = set(), iter(ids), deque([seed]), 0.0
+        while weight < target:
+            i = todo.popleft() if todo else next((j for j in waiting if j not in inside), None)
+            if i is None:
+                break
+            if i not in inside and (not inside or weight + v[i] <= max(1.1 * target, target + min(v.values()))):
+                inside.add(i)
+                weight += v[i]
+                todo.extend(sorted(j for j in near[i] if j not in inside))
         return inside
 
+    def refined(inside: set[int]) -> tuple[float, float, set[int]]:
+        """(imbalance, cut, side A) after passes of single moves, each kept up to its best point."""
+        inside = set(inside)
+        for _ in range(options.fm_passes):
+            gain = {i: sum(w if (j in inside) != (i in inside) else -w for j, w in near[i].items()) for i in ids}
+            weight, cost, locked, moves = sum(v[i] for i in inside), 0.0, set(), []
+            off = max(low - weight, weight - high, 0.0)
+            best, best_at, still = (off, 0.0), 0, 0
+            heap = [(-gain[i], i) for i in ids if off or any((j in inside) != (i in inside) for j in near[i])]
+            heapq.heapify(heap)
+            while heap and still < 50:
+                g, i = heapq.heappop(heap)
+                if i in locked or -g != gain[i]:
+                    continue
+                to = weight + (-v[i] if i in inside else v[i])
+                now = max(low - to, to - high, 0.0)
+                if now > off or not 0 < to < total:
+                    continue
+                locked.add(i)
+                cost -= gain[i]
+                inside ^= {i}
+                weight, off = to, now
+                moves.append(i)
+                for j, w in near[i].items():
+                    gain[j] += -2 * w if (j in inside) == (i in inside) else 2 * w
+                    if j not in locked:
+                        heapq.heappush(heap, (-gain[j], j))
+                still += 1
+                if (off, cost) < best:
+                    best, best_at, still = (off, cost), len(moves), 0
+            for i in moves[best_at:]:
+                inside ^= {i}
+            if not best_at:
+                break
+        weight = sum(v[i] for i in inside)
+        cut_ = sum(w for a, b, w in edges if (a in inside) != (b in inside))
+        return max(low - weight, weight - high, 0.0), cut_, inside
+
     for seed in rng.sample(ids, min(4, len(ids))) + [max(ids, key=lambda i: (len(near[i]), -i))]:
         tries.append(grow(seed))
     for _ in range(4):
-        order, inside, weight = rng.sample(ids, len(ids)), set(), 0.0
-        for i in order:
-            if weight + v[i] <= 1.1 * target and weight < target:
+        inside, weight = set(), 0.0
+        for i in rng.sample(ids, len(ids)):
+            if weight < target and weight + v[i] <= 1.1 * target:
                 inside.add(i)
                 weight += v[i]
         tries.append(inside)
-    cost = lambda s: sum(w for a, b, w in edges if (a in s) != (b in s))
-    off = lambda s: max(0.0, abs(sum(v[i] for i in s) - target) - options.tolerance * target)
-    best = min((s for s in tries if 0 < len(s) < len(ids) or len(ids) < 2), key=lambda s: (off(s), cost(s)), default=set(ids[: max(1, len(ids) // 2)]))
-    improved = True
-    while improved:  # single moves that lower the cut within the balance
-        improved = False
-        for i in ids:
-            moved = best ^ {i}
-            if 0 < len(moved) < len(ids) and off(moved) <= off(best) and cost(moved) < cost(best):
-                best, improved = moved, True
+    found = [refined(s or {ids[0]}) for s in tries]
+    found = [f for f in found if 0 < len(f[2]) < len(ids)] or [(0.0, 0.0, set(ids[: max(1, len(ids) // 2)]))]
+    best = min(found, key=lambda f: f[:2])[2]
     return graph.vertices.sparkSession.createDataFrame([(i, i not in best) for i in ids], "id long, side boolean")
 
 
@@ -206,16 +239,16 @@ def bisect(graph: Graph, options: Options | None = None) -> DataFrame:
     options = options or Options()
     if graph.size < 2:
         return graph.vertices.select("id", F.lit(False).alias("side"))
-    levels = hierarchy(graph, options.coarse_limit, 0.85, options.levels, options.strategy, options.seed)
+    levels = hierarchy(graph, max(options.coarse_limit, DRIVER), 0.85, options.levels, options.strategy, options.seed)
     graphs = [graph, *(g for g, _ in levels)]
-    if graphs[-1].size <= 4 * options.coarse_limit:
+    if graphs[-1].size <= 2 * DRIVER:
         side = initial(graphs[-1], options)
     else:  # it coarsened no further: fill A in hash order, and refine that
         placed = ranked(_weights(graphs[-1]).withColumn("h", F.xxhash64("id", F.lit(options.seed))), "h", "id")
         total = placed.agg(F.sum("vweight")).first()[0]
         side = _first(placed, options.split * total).select("id", (~F.col("first")).alias("side"))
     side = cut(side)
-    if not levels:
+    if not levels and graphs[-1].size > 2 * DRIVER:
         side = fm_refine(graph, qp_refine(graph, side, options), options)
     for fine, (_, mapping) in zip(reversed(graphs[:-1]), reversed(levels), strict=True):
         side = cut(mapping.join(side, mapping["coarse_id"] == side["id"]).select(F.col("fine_id").alias("id"), "side"))
