@@ -1,10 +1,14 @@
 """Components and communities."""
 
-from pyspark.sql import DataFrame, Window
+import random
+from collections import Counter
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..plans.iterate import cut, ranked
+from .coarsen import SMALL
 
 
 def components(graph: Graph) -> DataFrame:
@@ -22,13 +26,35 @@ def components(graph: Graph) -> DataFrame:
             return label
 
 
-def label_propagation(graph: Graph, sweeps: int = 50) -> DataFrame:
+def _small_propagation(graph: Graph, sweeps: int, seed: int) -> DataFrame:
+    """Sweeps one vertex at a time, in a new order each time; ties go to the label seen first."""
+    near: dict[int, list[int]] = {}
+    for r in graph.adj.orderBy("id", "eid", "nbr").select("id", "nbr").collect():
+        near.setdefault(r["id"], []).append(r["nbr"])
+    label = {r["id"]: r["id"] for r in graph.vertices.select("id").collect()}
+    rng, order = random.Random(seed), sorted(near)
+    for _ in range(sweeps):
+        rng.shuffle(order)
+        moved = False
+        for i in order:
+            votes = Counter(label[j] for j in near[i])
+            best, n = votes.most_common(1)[0]
+            if votes.get(label[i], 0) < n:
+                label[i], moved = best, True
+        if not moved:
+            break
+    return graph.vertices.sparkSession.createDataFrame(list(label.items()), "id long, label long")
+
+
+def label_propagation(graph: Graph, sweeps: int = 50, seed: int = 42) -> DataFrame:
     """id, community (0 to K-1, by first vertex).
 
     A sweep updates first the vertices of even hash, then those of odd hash, so that
     neighbours don't swap labels for ever. A vertex takes the most frequent label
     among its neighbour entries, and keeps its own if that is among them; else the least
-    wins. Ends when a sweep changes nothing."""
+    wins. Ends when a sweep changes nothing. Graphs of at most ``SMALL`` edges are swept on the driver."""
+    if graph.n_edges <= SMALL:
+        return renumbered(_small_propagation(graph, sweeps, seed), "label")
     adj = graph.adj.select("id", "nbr").repartition("nbr").cache()
     label = cut(graph.vertices.select("id", F.col("id").alias("label")))
     for _ in range(sweeps):
