@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .text import chunks, flat, plain
 
 #: Labelled texts of each label that the fit uses at most.
-SAMPLE = 2000
+SAMPLE = 1000
 ORDERS = (3, 4, 5)
 BITS = 18
 SMOOTH = 1.0
@@ -75,30 +75,32 @@ def fit(texts: list[bytes], labels: np.ndarray, rate: float) -> tuple[np.ndarray
     rows = [features(np.frombuffer(t, np.uint8)) for t in texts]
     lengths = np.array([len(r) for r in rows])
     flat_rows = np.concatenate(rows)
-    of = np.repeat(labels, lengths)
-    in1 = np.bincount(flat_rows[of == 1], minlength=size)
-    in0 = np.bincount(flat_rows[of == 0], minlength=size)
+    of = np.repeat(labels == 1, lengths)
+    in1 = np.bincount(flat_rows[of], minlength=size)
+    in0 = np.bincount(flat_rows[~of], minlength=size)
     ratio = np.log((in1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((in0 + SMOOTH) / (n0 + 2 * SMOOTH))
     ratio[in1 + in0 < LEAST_DOCS] = 0
     keep = ratio[flat_rows] != 0
-    doc = np.repeat(np.arange(len(rows)), lengths)[keep]
-    col = flat_rows[keep].astype(np.int64)
-    scale = ratio[col]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[keep]
+    col = flat_rows[keep].astype(np.int32)
+    del rows, flat_rows, of, keep
+    scale = ratio.astype(np.float32)[col]
     weight = np.ones(len(labels)) * np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     # accelerated gradient descent; the step follows the largest squared norm of a row
-    norm = np.bincount(doc, scale * scale, len(rows)) + 1
+    count = len(labels)
+    norm = np.bincount(doc, scale * scale, count) + 1
     step = 4.0 / float(np.sum(norm * weight))
     w, b, last_w, last_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     for k in range(ROUNDS):
         pull = k / (k + 3)
         at, at_b = w + pull * (w - last_w), b + pull * (b - last_b)
-        z = np.bincount(doc, scale * at[col], len(rows)) + at_b
+        z = np.bincount(doc, scale * at.astype(np.float32)[col], count) + at_b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
         last_w, last_b = w, b
-        w = at - step * (np.bincount(col, scale * error[doc], size) + PENALTY * at)
+        w = at - step * (np.bincount(col, scale * error.astype(np.float32)[doc], size) + PENALTY * at)
         b = at_b - step * error.sum()
     # the scale and intercept at which the scores are probabilities, with the labels at their rate
-    z = np.bincount(doc, scale * w[col], len(rows))
+    z = np.bincount(doc, scale * w.astype(np.float32)[col], count)
     share = np.where(labels == 1, rate / n1, (1 - rate) / n0) * len(labels)
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, c = 1.0, b
