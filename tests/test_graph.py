@@ -220,3 +220,31 @@ def test_catalog(spark):
     assert not c.set_coarse_level(id_, 7)
     with pytest.raises(KeyError):
         c.graph("none")
+
+
+def test_brotherly_matching(spark):
+    star = generators.star(spark, 7).cached()
+    alone = lambda s: sum(r["id"] == r["partner"] for r in coarsen.match(star, s).collect())
+    assert alone(coarsen.Strategy.HEM) == 5
+    assert alone(coarsen.Strategy.HEMSR) == 1 and alone(coarsen.Strategy.HEMSRDEG) == 1
+
+
+def test_refinement_never_worsens_the_cut(spark):
+    edges = [(i + o, j + o) for o in (0, 5) for i in range(5) for j in range(i + 1, 5)] + [(0, 5)]
+    g = graph(spark, edges)
+    side = spark.createDataFrame([(i, i in (4, 6, 7, 8, 9)) for i in range(10)], "id long, side boolean")
+    before = partition.edge_cut(g, side).first()[0]
+    for refine in (partition.qp_refine, partition.fm_refine):
+        after = refine(g, side, partition.Options())
+        assert after.count() == 10
+        assert partition.edge_cut(g, after).first()[0] <= before
+
+
+def test_rounds_agree_with_the_driver(spark, monkeypatch):
+    g = generators.erdos_renyi(spark, 40, 0.15).cached()
+    quick = values(coarsen.match(g), "partner")
+    monkeypatch.setattr(coarsen, "SMALL", -1)
+    assert values(coarsen.match(g), "partner") == quick
+    monkeypatch.setattr(communities, "SMALL", -1)
+    found = values(communities.label_propagation(g, 5), "community")
+    assert len(found) == 40 and set(found.values()) == set(range(max(found.values()) + 1))
