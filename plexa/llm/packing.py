@@ -30,13 +30,18 @@ GROUP = 1 << 16
 
 def engine(tokenizer_file: str, pattern: str):
     """The file's byte-level BPE as a tiktoken encoding: ids are the file's, and a merge's rank is
-    its product's id, which must grow along the file's list of merges."""
+    its product's id, which must grow along the file's list of merges. The file's added tokens are
+    special tokens, to be allowed where a text is encoded."""
     import json
 
     import tiktoken
 
     with open(tokenizer_file, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        held = json.load(f)
+    model, added = held["model"], held.get("added_tokens") or []
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("an added token takes in or asks for what stands beside it")
+    specials = {t["content"]: t["id"] for t in added}
     # a byte's character: itself if it can be printed, else the next free one from 256 on
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
@@ -47,14 +52,14 @@ def engine(tokenizer_file: str, pattern: str):
     ranks = {bytes(byte[c] for c in token): vocabulary[token] for token in vocabulary if all(c in byte for c in token)}
     made = set(merged)
     ranks = {t: i for t, i in ranks.items() if len(t) == 1 or i in made}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
 
 def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end: int = 0, ids: bool = True, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of the pieces of every document.
 
-    A document is its text's ids (by the vocabulary and merges of the ``tokenizers`` file, no
-    special tokens) and then ``end``. The merges are run by tiktoken's engine, which gives the
+    A document is its text's ids (by the vocabulary, merges and added tokens of the ``tokenizers``
+    file; an added token stands where the text holds it, none is put around the text) and then ``end``. The merges are run by tiktoken's engine, which gives the
     ids that the tokenizers library gives, at a fraction of its time (see the README).
     """
 
@@ -64,7 +69,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, pattern: str, end: int = 0,
         for chunk in chunks(batches):
             rows = []
             for doc, text in zip(chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist(), strict=True):
-                raw = encode(text, disallowed_special=()).astype("<u4", copy=False).tobytes() + last
+                raw = encode(text, allowed_special="all").astype("<u4", copy=False).tobytes() + last
                 n = len(raw) // 4
                 first = n % capacity or capacity
                 for piece, to in enumerate(range(first, n + 1, capacity)):

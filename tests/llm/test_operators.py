@@ -104,6 +104,17 @@ def test_packing(spark, public, texts):
         assert at == len(ids)
 
 
+def test_packing_keeps_added_tokens(spark, public):
+    tokenizers = pytest.importorskip("tokenizers")
+    held = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext| >", "word <|endoftext|> " * 1500]
+    t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    got = {}
+    for r in packing.tokenized(table(spark, held), public.path("byte_bpe_50k.json"), public.PATTERN).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert [got[i] for i in range(len(held))] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in held]
+    assert got[1] == [50256, 0]
+
+
 def test_plan_is_full_where_it_can_be():
     plan = packing.plan({5: 4, 3: 4, 2: 4}, 10)
     assert sum(n for _, n in plan) == 4 and all(sum(lengths) <= 10 for lengths, _ in plan)
