@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 PLACE_BITS = 24
 STARS = 2
 PARITY = 32
+#: Bounds that rule a pair out give way by so much, so that rounding rules out no pair at the threshold.
+SLACK = 1e-6
 
 
 def _kmers(words: np.ndarray, bounds: np.ndarray, k: int):
@@ -233,7 +235,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     shared = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = stored(held.join(shared, "key"), "buckets")
     words = stored(_words(docs, buckets.select(F.col("id").alias("doc_id")).distinct(), k), "words")
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)  # noqa: E731  or the similarity can't be reached
+    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - SLACK  # noqa: E731  or the similarity can't be reached
     release(spark)
 
     # stars: a bucket's texts that are in no leader's class yet, against the first of them
@@ -267,11 +269,11 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     def reach(x: str, y: str):
         both = F.col(f"{x}size") + F.col(f"{y}size")
         differ = sum((F.bit_count(F.get(f"{x}parity", F.lit(i)).bitwiseXOR(F.get(f"{y}parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-        return (F.least(f"{x}shared", f"{y}shared") * (1 + similarity) >= similarity * both) & (differ * (1 + similarity) <= (1 - similarity) * both)
+        return (F.least(f"{x}shared", f"{y}shared") * (1 + similarity) >= similarity * both - SLACK) & (differ * (1 + similarity) <= (1 - similarity) * both + SLACK)
 
     member = stored(mixed(buckets, label), "members")
     open_ = stored(_shared(words, member.select("id").distinct(), k), "shared")
-    member = stored(member.join(open_, "id").where(F.col("shared") >= similarity * F.col("size")).join(words.select(F.col("doc_id").alias("id"), "parity"), "id").select("key", "id", "size", "shared", "parity"), "open")
+    member = stored(member.join(open_, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK).join(words.select(F.col("doc_id").alias("id"), "parity"), "id").select("key", "id", "size", "shared", "parity"), "open")
 
     # members of a bucket's largest class, drawn by hash, lead twice more; then all pairs between classes
     for step in range(3):

@@ -161,6 +161,21 @@ def test_near_duplicates(spark, texts):
     assert neardup.classes(table(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Two texts of similarity 40 / 50 = 0.8 in buckets that are led by texts unlike both."""
+    rng = random.Random(11)
+    text = [f"base{i}" for i in range(49)]
+    other = [*text[:24], "changed", *text[25:]]
+    docs = []
+    for i in range(250):
+        lead = list(text)
+        for low in (5, 15, 26, 37):
+            lead[low + rng.randrange(6)] = f"own{i}x{low}"
+        docs.append(" ".join(lead))
+    got = {r["doc_id"]: r for r in neardup.classes(table(spark, [*docs, " ".join(text), " ".join(other)])).collect()}
+    assert got[250]["class_id"] == got[251]["class_id"] == 250 and got[251]["n_links"] == 1
+
+
 def test_common_against_table():
     rng = random.Random(2)
     for _ in range(200):
