@@ -392,9 +392,10 @@ def bisect_invariants(spark, sf_dir):
 
 @query("SELECT 'parts' AS invariant, true AS holds UNION ALL SELECT 'all placed', true UNION ALL SELECT 'none empty', true")
 def kway_invariants(spark, sf_dir):
-    g = generators.ring_lattice(spark, 60, 4)
+    g = tables.copurchase(spark, sf_dir)
+    g = Graph(g.vertices.cache(), g.edges.cache())
     sizes = [r["size"] for r in partition.part_sizes(partition.k_way(g, 4), 4).collect()]
-    return spark.createDataFrame([("parts", len(sizes) == 4), ("all placed", sum(sizes) == 60), ("none empty", min(sizes) > 0)], "invariant string, holds boolean")
+    return spark.createDataFrame([("parts", len(sizes) == 4), ("all placed", sum(sizes) == g.size), ("none empty", min(sizes) > 0)], "invariant string, holds boolean")
 
 
 # ---- communities, orders, colours

@@ -248,3 +248,25 @@ def test_rounds_agree_with_the_driver(spark, monkeypatch):
     monkeypatch.setattr(communities, "SMALL", -1)
     found = values(communities.label_propagation(g, 5), "community")
     assert len(found) == 40 and set(found.values()) == set(range(max(found.values()) + 1))
+
+
+def test_kway_query_splits_the_table_graph(spark, monkeypatch):
+    from pathlib import Path
+
+    from plexa.plans import queries
+    from plexa.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).is_dir():
+        pytest.skip("no test tables")
+    seen, split = [], partition.k_way
+
+    def watched(g, k):
+        seen.append((g.size, split(g, k).cache()))
+        return seen[-1][1]
+
+    monkeypatch.setattr(partition, "k_way", watched)
+    assert all(r["holds"] for r in queries.QUERIES["kway_invariants"](spark, sf).collect())
+    n, parts = seen[0]
+    sizes = [r["size"] for r in partition.part_sizes(parts, 4).collect()]
+    assert n == tables.copurchase(spark, sf).size == sum(sizes) and max(sizes) <= 1.25**2 * n / 4 + 1
