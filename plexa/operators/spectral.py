@@ -10,6 +10,9 @@ from ..plans.iterate import cut, ranked
 #: Vertices up to which eigenvalues are worked out densely on the driver.
 DENSE = 2000
 LIMIT = 8000
+#: Vectors that the Krylov basis of a larger graph holds, and Ritz vectors that a restart keeps.
+BASIS = 40
+KEPT = 15
 
 
 def laplacian(graph: Graph) -> DataFrame:
@@ -51,9 +54,53 @@ def eigenvalues(graph: Graph) -> list[float]:
     return np.linalg.eigvalsh(_dense(graph)[1]).tolist() if graph.size else []
 
 
+def _dots(held: DataFrame, m: int) -> tuple[np.ndarray, float, float]:
+    """Of held (id, v, value): products of value with the ``m`` vectors in v, its mean and its sum of squares."""
+    row = held.agg(*(F.sum(F.col("v")[i] * F.col("value")) for i in range(m)), F.avg("value"), F.sum(F.col("value") * F.col("value"))).first()
+    return np.array(row[:m], float), row[m], row[m + 1]
+
+
+def _combined(weights: np.ndarray):
+    """Column: the vectors in v, added up with ``weights``."""
+    return sum((F.col("v")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+
+
+def _lanczos(graph: Graph, rounds: int, tolerance: float) -> DataFrame:
+    """id, value of the lowest Ritz vector beside the constant one, by Lanczos rounds with full
+    orthogonalisation and thick restarts, until its residual is within ``tolerance``."""
+    n = graph.size
+    start = cut(graph.vertices.select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)).alias("value")))
+    mean = start.agg(F.avg("value")).first()[0]
+    norm = start.agg(F.sqrt(F.sum((F.col("value") - mean) * (F.col("value") - mean)))).first()[0]
+    basis = cut(start.select("id", F.array((F.col("value") - mean) / norm).alias("v")))
+    matrix = np.zeros((0, 0))
+    for _ in range(rounds):
+        while True:
+            m = len(matrix) + 1
+            flow = product(graph, basis.select("id", F.col("v")[m - 1].alias("value")))
+            held = cut(basis.join(flow, "id"))
+            first, mean, _ = _dots(held, m)
+            held = cut(held.select("id", "v", (F.col("value") - _combined(first) - mean).alias("value")))
+            again, mean, squares = _dots(held, m)
+            rest = np.sqrt(max(0.0, squares - again @ again - n * mean * mean))
+            matrix = np.pad(matrix, (0, 1))
+            matrix[:, -1] = matrix[-1, :] = first + again
+            values, vectors = np.linalg.eigh(matrix)
+            if rest * abs(vectors[-1, 0]) <= tolerance:
+                return cut(held.select("id", _combined(vectors[:, 0]).alias("value")))
+            new = (F.col("value") - _combined(again) - mean) / float(rest)
+            if m == BASIS:
+                break
+            basis = cut(held.select("id", F.concat("v", F.array(new)).alias("v")))
+        basis = cut(held.select("id", F.array(*(_combined(vectors[:, k]) for k in range(KEPT)), new).alias("v")))
+        matrix = np.diag(values[:KEPT])
+    raise RuntimeError(f"no eigenvector within {tolerance} after {rounds} restarts")
+
+
 def fiedler(graph: Graph, rounds: int = 60, tolerance: float = 1e-8) -> DataFrame:
     """id, value: an eigenvector of the second smallest eigenvalue, its first entry that isn't 0
-    positive. Large graphs: power rounds of (c - L) without the constant part, each a join."""
+    positive. Large graphs: Lanczos rounds, each a join; an error if ``rounds`` restarts leave a
+    residual over ``tolerance``."""
     n = graph.size
     spark = graph.vertices.sparkSession
     if n < 2:
@@ -65,19 +112,9 @@ def fiedler(graph: Graph, rounds: int = 60, tolerance: float = 1e-8) -> DataFram
         if len(lead) and lead[0] < 0:
             vector = -vector
         return spark.createDataFrame([(i, float(x)) for i, x in zip(ids, vector, strict=True)], "id long, value double")
-    most = graph.adj.groupBy("id").count().agg(F.max("count")).first()[0] or 0
-    x = cut(graph.vertices.select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)).alias("value")))
-    last = None
-    for _ in range(rounds):
-        mean, norm = x.agg(F.avg("value"), F.sqrt(F.sum(F.col("value") * F.col("value")) - F.count("*") * F.avg("value") * F.avg("value"))).first()
-        x = cut(x.select("id", ((F.col("value") - mean) / (norm or 1.0)).alias("value")))
-        quotient = rayleigh(graph, x).first()[0]
-        if last is not None and abs(last - quotient) < tolerance:
-            break
-        last = quotient
-        low = product(graph, x).withColumnRenamed("value", "low")
-        x = cut(x.join(low, "id").select("id", (2.0 * most * F.col("value") - F.col("low")).alias("value")))
-    return x
+    x = _lanczos(graph, rounds, tolerance)
+    lead = x.where(F.abs("value") > 1e-9).agg(F.min_by("value", "id")).first()[0]
+    return x.select("id", (-F.col("value")).alias("value")) if (lead or 0.0) < 0 else x
 
 
 def algebraic_connectivity(graph: Graph) -> float:

@@ -270,3 +270,15 @@ def test_kway_query_splits_the_table_graph(spark, monkeypatch):
     n, parts = seen[0]
     sizes = [r["size"] for r in partition.part_sizes(parts, 4).collect()]
     assert n == tables.copurchase(spark, sf).size == sum(sizes) and max(sizes) <= 1.25**2 * n / 4 + 1
+
+
+def test_fiedler_of_large_graphs_is_the_dense_one(spark, monkeypatch):
+    path = graph(spark, [(i, i + 1) for i in range(13)])
+    want, least = values(spectral.fiedler(path)), spectral.algebraic_connectivity(path)
+    for name, value in (("DENSE", 5), ("BASIS", 9), ("KEPT", 4)):
+        monkeypatch.setattr(spectral, name, value)
+    found = spectral.fiedler(path).cache()
+    assert values(found) == pytest.approx(want, abs=1e-6)
+    assert spectral.rayleigh(path, found).first()[0] == pytest.approx(least, abs=1e-9)
+    with pytest.raises(RuntimeError):
+        spectral.fiedler(path, rounds=0)
