@@ -3,13 +3,15 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import ranked
+from ..plans.iterate import cumulated, cut
 
 
 def quantiles(data: DataFrame, probabilities, value: str = "value") -> DataFrame:
     """p, quantile: interpolated at (n + 1/3) p + 1/3 of the sorted values (definition 8)."""
-    n = data.count()
     spark = data.sparkSession
+    counts = data.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("times"))
+    counts = cut(counts)  # a value that recurs is one row, however often it does
+    n = counts.agg(F.sum("times")).first()[0]
     if not n:
         return spark.createDataFrame([(float(p), 0.0) for p in probabilities], "p double, quantile double")
     rows = []
@@ -18,8 +20,9 @@ def quantiles(data: DataFrame, probabilities, value: str = "value") -> DataFrame
         low = int(h)
         rows += [(float(p), low - 1, 1 - (h - low)), (float(p), min(low, n - 1), h - low)]
     want = spark.createDataFrame(rows, "p double, rank long, share double")
-    placed = ranked(data.select(F.col(value).cast("double").alias("value")), "value")
-    return F.broadcast(want).join(placed, "rank").groupBy("p").agg(F.sum(F.col("value") * F.col("share")).alias("quantile"))
+    placed = cumulated(counts, "value", "times", "first")
+    found = placed.join(F.broadcast(want), (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("times")))
+    return found.groupBy("p").agg(F.sum(F.col("value") * F.col("share")).alias("quantile"))
 
 
 def describe(data: DataFrame, value: str = "value") -> DataFrame:
@@ -88,14 +91,7 @@ def pearson(a: str, b: str) -> Column:
 def tied_ranks(data: DataFrame, value: str, name: str) -> DataFrame:
     """``data`` with ``name``: the rank from 1, equal values sharing their mean rank."""
     counts = data.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    placed = ranked(counts, "_v", name="_r")
-    # ranks before a distinct value: a running sum over range partitions, offset by partition
-    from pyspark.sql import Window
-
-    parts = placed.withColumn("_p", F.floor(F.col("_r") / 100_000))
-    offsets = parts.groupBy("_p").agg(F.sum("_c").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("_c").over(Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = parts.withColumn("_i", inside).join(offsets.select("_p", "_o"), "_p").select("_v", (F.col("_i") + F.col("_o") + (F.col("_c") + 1) / 2).alias(name))
+    ranks = cumulated(counts, "_v", "_c", "_before").select("_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias(name))
     return data.join(ranks, data[value] == ranks["_v"]).drop("_v")
 
 

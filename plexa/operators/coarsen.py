@@ -91,12 +91,12 @@ def contract(graph: Graph, mapping: DataFrame) -> Graph:
     return Graph(v.withColumn("label", F.col("id").cast("string")), e.select("eid", "src", "dst", "weight"), False, graph.title)
 
 
-def hierarchy(graph: Graph, least: int = 50, stall: float = 0.8, levels: int = 64, strategy: Strategy = Strategy.HEM, seed: int = 42) -> list[tuple[Graph, DataFrame]]:
+def hierarchy(graph: Graph, least: int = 50, stall: float = 0.8, levels: int = 64, strategy: Strategy = Strategy.HEM, seed: int = 42, threshold: float = 2.0) -> list[tuple[Graph, DataFrame]]:
     """(coarse graph, fine_to_coarse) by level, while over ``least`` vertices remain and a level
     keeps at most ``stall`` of them."""
     out, now = [], graph
     while now.size > least and len(out) < levels:
-        mapping = cut(fine_to_coarse(match(now, strategy, seed + len(out))))
+        mapping = cut(fine_to_coarse(match(now, strategy, seed + len(out), threshold)))
         coarse = contract(now, mapping)
         coarse = Graph(cut(coarse.vertices), cut(coarse.edges), False, graph.title)
         if coarse.size > stall * now.size:

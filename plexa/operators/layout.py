@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..plans.iterate import cut
+from ..plans.iterate import cut, drop
 from ..sources.generators import uniform
 from .coarsen import hierarchy
 
 #: Vertices up to which repulsion is between all pairs.
 EXACT = 500
+#: Vertices up to which all rounds run on the driver.
+DRIVER = 500
 THETA = 1.0
-DEPTH = 12
+#: Depth of the smallest cells: a 2**30th of the extent, where places coincide.
+DEPTH = 30
 
 
 def scatter(graph: Graph, seed: int = 42, width: float | None = None, height: float | None = None) -> DataFrame:
@@ -45,7 +49,7 @@ def repulsion(at: DataFrame, n: int, k: float) -> DataFrame:
         return pairs.groupBy("id").agg(F.sum(dx * push(dx, dy, 1)).alias("fx"), F.sum(dy * push(dx, dy, 1)).alias("fy"))
     b = at.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     size = max(b[1] - b[0], b[3] - b[2], 1e-9) * 1.0001
-    total = None
+    total, kept = None, []
     opened = at.select("id", "x", "y", F.lit(0).alias("cx"), F.lit(0).alias("cy"))
     for depth in range(DEPTH + 1):
         edge = size / 2**depth
@@ -55,13 +59,16 @@ def repulsion(at: DataFrame, n: int, k: float) -> DataFrame:
         dx, dy = F.col("x") - F.col("u"), F.col("y") - F.col("v")
         far = (F.lit(edge * edge) < THETA * THETA * (dx * dx + dy * dy)) | (F.col("m") == 1) | F.lit(depth == DEPTH)
         near = cut(near.withColumn("far", far))
+        kept.append(near)
         part = near.where("far and not (m = 1 and only = id)").select("id", (dx * push(dx, dy, F.col("m"))).alias("fx"), (dy * push(dx, dy, F.col("m"))).alias("fy"))
         total = part if total is None else total.unionAll(part)
         if depth == DEPTH or near.where("not far").isEmpty():
             break
         four = F.explode(F.array(*(F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)))).alias("c")
         opened = near.where("not far").select("id", "x", "y", four).select("id", "x", "y", "c.cx", "c.cy")
-    return total.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    out = cut(total.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy")))
+    drop(*kept)
+    return out
 
 
 def attraction(graph: Graph, at: DataFrame, k: float) -> DataFrame:
@@ -92,12 +99,42 @@ def flat(graph: Graph, start: DataFrame | None = None, rounds: int = 100, width:
     """Rounds of forces with a temperature that falls to 0."""
     k = spacing(graph.size, width, height)
     heat = width / 10 if width and height else 5 * k
-    at = cut(start if start is not None else scatter(graph, seed, width, height))
+    start = start if start is not None else scatter(graph, seed, width, height)
+    if graph.size <= DRIVER:
+        return _small(graph, start, rounds, k, heat, width, height)
+    at, graph = cut(start), Graph(graph.vertices, cut(graph.edges), graph.directed, graph.title)
     for i in range(rounds):
-        at = cut(step(graph, at, k, heat * (1 - i / rounds), width, height))
+        old, at = at, cut(step(graph, at, k, heat * (1 - i / rounds), width, height))
+        drop(old)
+    drop(graph.edges)
     return at
 
 
+def _small(graph: Graph, start: DataFrame, rounds: int, k: float, heat: float, width: float | None, height: float | None) -> DataFrame:
+    """The rounds of ``step`` for at most ``DRIVER`` vertices, in numpy on the driver: their places
+    and the number of edges between any two fill a table of fixed size."""
+    rows = sorted((r["id"], r["x"], r["y"]) for r in start.collect())
+    number = {r[0]: i for i, r in enumerate(rows)}
+    n = len(rows)
+    at, links = np.array([r[1:] for r in rows], float).reshape(n, 2), np.zeros((n, n))
+    for r in graph.adj.groupBy("id", "nbr").agg(F.count("*").alias("n")).collect():
+        links[number[r["id"]], number[r["nbr"]]] = r["n"]
+    middle = np.array([width / 2, height / 2]) if width and height else np.zeros(2)
+    other = ~np.eye(n, dtype=bool)
+    for i in range(rounds):
+        d = at[:, None] - at
+        square = (d * d).sum(-1)
+        push = np.where(other, k * k / np.maximum(square, 1e-4), 0.0)
+        pull = links * np.maximum(np.sqrt(square), 0.01) / k
+        move = ((push - pull)[..., None] * d).sum(1) - 0.05 * (at - middle)
+        size = np.maximum(np.sqrt((move * move).sum(1)), 0.01)
+        at = at + move / size[:, None] * np.minimum(size, heat * (1 - i / rounds))[:, None]
+        if width and height:
+            at += 0.1 * (np.maximum(50 - at, 0) - np.maximum(at - (np.array([width, height]) - 50), 0))
+    places = [(row[0], float(x), float(y)) for row, (x, y) in zip(rows, at, strict=True)]
+    return graph.vertices.sparkSession.createDataFrame(places, "id long, x double, y double")
+
+
 def multilevel(graph: Graph, coarse_rounds: int = 500, refine_rounds: int = 50, least: int = 50, seed: int = 42) -> DataFrame:
     """The coarsest graph first; each finer vertex starts near its coarse one."""
     if graph.size <= 2 * least:

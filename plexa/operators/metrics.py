@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..plans.iterate import cut
+from ..plans.iterate import cut, drop
 
 NAMES = ("degree", "indegree", "outdegree", "pagerank", "betweenness", "clustering", "kcore", "in_out_ratio", "reciprocity")
 DAMPING = 0.85
@@ -81,7 +81,8 @@ def pagerank(graph: Graph, rounds: int = ROUNDS, damping: float = DAMPING) -> Da
         loose = rank.where("out = 0").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("loose"))
         flow = links.join(rank.where("out > 0").select(F.col("id").alias("src"), (F.col("value") / F.col("out")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("flow"))
         new = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") / n)
-        rank = cut(rank.select("id", "out").join(flow, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", new.alias("value")))  # loose: one row
+        old, rank = rank, cut(rank.select("id", "out").join(flow, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", new.alias("value")))  # loose: one row
+        drop(old)
     links.unpersist()
     return rank.select("id", "value")
 
@@ -167,6 +168,7 @@ def kcore(graph: Graph) -> DataFrame:
         top = F.sum("c").over(Window.partitionBy("id").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0))
         h = seen.withColumn("h", F.least(F.col("v"), top.cast("double"))).groupBy("id").agg(F.max("h").alias("h"))
         new = cut(core.join(h, "id", "left").select("id", F.least("value", F.coalesce("h", F.lit(0.0))).alias("value"), F.col("value").alias("was")))
+        drop(core)
         core = new.select("id", "value")
         if new.where("value <> was").isEmpty():
             adj.unpersist()

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..plans.iterate import cut, ranked
+from ..plans.iterate import cut, drop, ranked
 
 #: Vertices up to which eigenvalues are worked out densely on the driver.
 DENSE = 2000
@@ -78,9 +78,10 @@ def _lanczos(graph: Graph, rounds: int, tolerance: float) -> DataFrame:
         while True:
             m = len(matrix) + 1
             flow = product(graph, basis.select("id", F.col("v")[m - 1].alias("value")))
-            held = cut(basis.join(flow, "id"))
-            first, mean, _ = _dots(held, m)
-            held = cut(held.select("id", "v", (F.col("value") - _combined(first) - mean).alias("value")))
+            raw = cut(basis.join(flow, "id"))
+            first, mean, _ = _dots(raw, m)
+            held = cut(raw.select("id", "v", (F.col("value") - _combined(first) - mean).alias("value")))
+            drop(raw, basis)
             again, mean, squares = _dots(held, m)
             rest = np.sqrt(max(0.0, squares - again @ again - n * mean * mean))
             matrix = np.pad(matrix, (0, 1))
@@ -92,7 +93,9 @@ def _lanczos(graph: Graph, rounds: int, tolerance: float) -> DataFrame:
             if m == BASIS:
                 break
             basis = cut(held.select("id", F.concat("v", F.array(new)).alias("v")))
+            drop(held)
         basis = cut(held.select("id", F.array(*(_combined(vectors[:, k]) for k in range(KEPT)), new).alias("v")))
+        drop(held)
         matrix = np.diag(values[:KEPT])
     raise RuntimeError(f"no eigenvector within {tolerance} after {rounds} restarts")
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..model import Graph, build
 
 
+#: Edges up to which a graph that grows step by step is made, on the driver.
+MOST = 1_000_000
+
+
 def uniform(*parts) -> Column:
     """A number in [0, 1) that follows from ``parts``."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
@@ -45,9 +49,11 @@ def ring_lattice(spark: SparkSession, n: int, k: int) -> Graph:
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 42) -> Graph:
     """A clique of m + 1, then each vertex joins m others, drawn by degree. Each step needs the
-    one before, so it runs on the driver, for n that fits there."""
+    one before, so it runs on the driver, for n * m up to ``MOST``."""
     if not 1 <= m < n:
         raise ValueError("needs 1 <= m < n")
+    if n * m > MOST:
+        raise ValueError(f"over {MOST} edges are not grown on the driver")
     rng = random.Random(seed)
     edges = [(i, j) for i in range(m + 1) for j in range(i + 1, m + 1)]
     ends = [v for e in edges for v in e]
@@ -65,9 +71,11 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 42) -> Grap
 
 def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, seed: int = 42) -> Graph:
     """A ring lattice whose edges are rewired with probability beta. A rewired edge must be
-    new, so this runs on the driver, for n that fits there."""
+    new, so this runs on the driver, for n * k / 2 up to ``MOST``."""
     if k % 2 or not 2 <= k < n:
         raise ValueError("needs an even k with 2 <= k < n")
+    if n * k // 2 > MOST:
+        raise ValueError(f"over {MOST} edges are not rewired on the driver")
     rng = random.Random(seed)
     edges = {(min(i, (i + j) % n), max(i, (i + j) % n)) for i in range(n) for j in range(1, k // 2 + 1)}
     for a, b in sorted(edges):

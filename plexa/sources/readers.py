@@ -35,7 +35,13 @@ def find_graph_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("text"))
+    """line, text of one file. A line's number is its block's first byte and its place in the block:
+    it grows along the file, as no line is shorter than a byte."""
+    text = spark.read.text(path)
+    if len(text.inputFiles()) > 1:
+        raise ValueError(f"{path}: a graph is read from one file")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return text.select((F.col("_metadata.file_block_start") + place).alias("line"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("text"))
 
 
 def read_edge_list(spark: SparkSession, path: str) -> Graph:
@@ -151,31 +157,40 @@ def _keyed(nodes: DataFrame, edges: DataFrame, directed: bool) -> Graph:
 
 
 def read_graphml(spark: SparkSession, path: str) -> Graph:
-    """The first node key named label or name gives labels, the first edge key named weight or
+    """The file's first graph. The first node key named label or name gives labels, the first edge key named weight or
     value weights; edges to unknown ids are dropped. An edge's own ``directed`` decides how it is de-duplicated."""
 
     def tags(tag: str, schema: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("at", F.monotonically_increasing_id())
 
     data = "data array<struct<_key:string,_VALUE:string>>"
-    keys = [r.asDict() for r in tags("key", "_id string, `_for` string, `_attr.name` string").limit(1000).collect()]
+    keys = tags("key", "_id string, `_for` string, `_attr.name` string")
 
     def key(kind: str, names: tuple) -> str | None:
-        return next((k["_id"] for k in sorted(keys, key=lambda k: k["at"]) if k["_for"] in (kind, "all") and (k["_attr.name"] or "").lower() in names), None)
+        found = keys.where(F.col("_for").isin(kind, "all") & F.lower("`_attr.name`").isin(*names)).orderBy("at").limit(1).collect()
+        return found[0]["_id"] if found else None
 
     def datum(name: str | None):
         return F.get(F.filter("data", lambda d: d["_key"] == F.lit(name)), F.lit(0))["_VALUE"]
 
-    graphs = tags("graph", "_edgedefault string").orderBy("at").limit(1).collect()
-    directed = bool(graphs) and graphs[0]["_edgedefault"] == "directed"
-    found = tags("node", f"_id string, _label string, {data}")
+    node_kind, edge_kind = f"_id string, _label string, {data}", f"_source string, _target string, _directed string, {data}"
+    graphs = tags("graph", "_edgedefault string").orderBy("at").limit(2).collect()
+    if not graphs:
+        raise ValueError(f"{path}: no graph in it")
+    directed = graphs[0]["_edgedefault"] == "directed"
+    if len(graphs) == 1:
+        found, linked = tags("node", node_kind), tags("edge", edge_kind)
+    else:  # the first graph is read as one row, as its nodes and edges must be told from the others'
+        struct = lambda kind: "array<struct<" + kind.replace(" string", ":string").replace("data array", "data:array") + ">>"
+        first = tags("graph", f"node {struct(node_kind)}, edge {struct(edge_kind)}").orderBy("at").limit(1)
+        found, linked = (first.select(F.posexplode(c).alias("at", "n")).select(F.col("at").cast("long").alias("at"), "n.*") for c in ("node", "edge"))
     if found.groupBy("_id").count().where("count > 1").limit(1).count():
         raise ValueError(f"{path}: a node id is repeated")
     label = F.coalesce("_label", datum(key("node", ("label", "name"))), "_id")
     nodes = cut(ranked(found.select("at", F.col("_id").alias("key"), F.trim(label).alias("label")), "at", name="id"))
     w = datum(key("edge", ("weight", "value")))
     weight = F.when(w.isNull(), 1.0).otherwise(F.coalesce(F.expr("try_cast(w as double)"), F.lit(0.0)))
-    edges = tags("edge", f"_source string, _target string, _directed string, {data}").withColumn("w", w)
+    edges = linked.withColumn("w", w)
     own = F.when(F.col("_directed").isNull(), F.lit(directed)).otherwise(F.lower("_directed") == "true")
     edges = edges.select(F.col("_source").alias("a"), F.col("_target").alias("b"), weight.alias("weight"), F.col("at").alias("eid"), own.alias("own"))
     one, two = (nodes.select(F.col("id").alias(i), F.col("key").alias(n)) for i, n in (("src", "a"), ("dst", "b")))

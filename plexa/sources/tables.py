@@ -1,9 +1,11 @@
-"""Graphs derived from the star-schema tables."""
+"""Graphs derived from the star-schema tables. Edges that take a join or a sort of a large table are
+stored once, as the operators read them again and again."""
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph, build
+from ..plans.iterate import cut
 
 #: Added to part keys where they share a vertex space with suppliers.
 PART_OFFSET = 1_000_000_000
@@ -16,19 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def following(events: DataFrame) -> DataFrame:
     """src, dst: each event's user and the next event's, over all events in (ts, event_id) order.
 
-    The next event is looked up within a day; a day's last event takes the first user of
-    the next day that has events, so only one row a day meets in one task."""
-    e = events.select("user_id", "ts", "event_id", F.date_trunc("day", "ts").alias("day"))
+    The next event is looked up within a range partition; a partition's last event takes the
+    first user of the next partition, so only one row a partition meets in one task."""
+    e = cut(events.select("user_id", "ts", "event_id").repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()))
     order = F.struct("ts", "event_id")
-    inside = e.withColumn("next", F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id")))
-    days = e.groupBy("day").agg(F.min_by("user_id", order).alias("first"), F.max_by("user_id", order).alias("src"))
-    between = days.withColumn("dst", F.lead("first").over(Window.orderBy("day"))).select("src", "dst")
+    inside = e.withColumn("next", F.lead("user_id").over(Window.partitionBy("part").orderBy("ts", "event_id")))
+    parts = e.groupBy("part").agg(F.min_by("user_id", order).alias("first"), F.max_by("user_id", order).alias("src"))
+    between = parts.withColumn("dst", F.lead("first").over(Window.orderBy("part"))).select("src", "dst")
     return inside.select(F.col("user_id").alias("src"), F.col("next").alias("dst")).unionAll(between).where("dst is not null")
 
 
 def succession(spark: SparkSession, sf_dir: str) -> Graph:
     """Directed: user -> user of the next event."""
-    pairs = following(_table(spark, sf_dir, "events")).where("src <> dst").distinct()
+    pairs = cut(following(_table(spark, sf_dir, "events")).where("src <> dst").distinct())
     return build(pairs, True, title="succession")
 
 
@@ -37,7 +39,7 @@ def copurchase(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
     item = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).distinct()
     pairs = item.select("l_orderkey", F.col("p").alias("src")).join(item.select("l_orderkey", F.col("p").alias("dst")), "l_orderkey").where("src < dst")
     edges = pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).where(F.col("weight") >= least)
-    return build(edges, False, title="copurchase")
+    return build(cut(edges), False, title="copurchase")
 
 
 def trade(spark: SparkSession, sf_dir: str, targets: int = 3) -> Graph:

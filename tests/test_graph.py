@@ -192,21 +192,35 @@ def test_events(spark):
     rows = [("w", i, float(i)) for i in range(5)]
     d = spark.createDataFrame(rows, "window string, timestamp long, value double")
     assert [r["timestamp"] for r in events.newest(d, "window", ["timestamp"], 2).orderBy("place").collect()] == [3, 4]
-    want = 0.0
-    for _, i, x in rows:
-        want = x if not i else want * 0.9 + x * 0.1
-    assert events.averaged(d, "window", ["timestamp"], "value").first()["ema"] == pytest.approx(want)
+    more = d.unionAll(spark.createDataFrame([("u", i, float(i * i % 7)) for i in range(300)], d.schema)).repartition(7)
+    got = {r["window"]: r["ema"] for r in events.averaged(more, "window", ["timestamp"], "value").collect()}
+    for key, xs in (("w", range(5)), ("u", [i * i % 7 for i in range(300)])):
+        want = float(xs[0])
+        for x in xs[1:]:
+            want = want * 0.9 + x * 0.1
+        assert got[key] == pytest.approx(want)
 
 
 def test_event_stream(spark, tmp_path):
     rows = [("w", i, "click") for i in range(4)]
     spark.createDataFrame(rows, "window string, timestamp long, type string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("window string, timestamp long, type string").parquet(str(tmp_path / "in"))
-    q = events.drained(stream, kept=2).writeStream.format("memory").queryName("drained").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+    spark.createDataFrame([("w", 9, "click")], "window string, timestamp long, type string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("window string, timestamp long, type string").parquet(str(tmp_path / "in"))
+    q = events.drained(stream, kept=2).writeStream.format("memory").queryName("twice").outputMode("update").option("checkpointLocation", str(tmp_path / "cp3")).start()
     q.processAllAvailable()
     q.stop()
-    row = spark.table("drained").first()
-    assert row["came"] == 4 and [e["timestamp"] for e in json.loads(row["queue"])] == [2, 3]
+    rows = sorted(spark.table("twice").collect(), key=lambda r: r["total"])
+    assert sorted((r["came"], [e["timestamp"] for e in json.loads(r["queue"])]) for r in rows) == [(1, [9]), (4, [2, 3])]
+    assert rows[-1]["total"] == 5
+
+
+def test_queue_drains():
+    q = events.Queue(kept=2)
+    for i in range(4):
+        q.post("w", "click", i)
+    with pytest.raises(ValueError):
+        q.post("w", "sneeze", 5)
+    assert [e["timestamp"] for e in q.drain("w")] == [2, 3] and q.drain("w") == []
 
 
 def test_catalog(spark):
@@ -247,6 +261,8 @@ def test_rounds_agree_with_the_driver(spark, monkeypatch):
     assert values(coarsen.match(g), "partner") == quick
     monkeypatch.setattr(communities, "SMALL", -1)
     found = values(communities.label_propagation(g, 5), "community")
+    monkeypatch.setattr(communities, "SMALL", 10**9)
+    assert values(communities.label_propagation(g, 5), "community") == found
     assert len(found) == 40 and set(found.values()) == set(range(max(found.values()) + 1))
 
 
@@ -282,3 +298,39 @@ def test_fiedler_of_large_graphs_is_the_dense_one(spark, monkeypatch):
     assert spectral.rayleigh(path, found).first()[0] == pytest.approx(least, abs=1e-9)
     with pytest.raises(RuntimeError):
         spectral.fiedler(path, rounds=0)
+
+
+def test_many_rounds_on_the_cluster_path(spark, monkeypatch):
+    g = graph(spark, [(i, (i + 1) % 12) for i in range(12)] + [(0, 6)])
+    start = layout.scatter(g).cache()
+    places = lambda rounds: {r["id"]: (r["x"], r["y"]) for r in layout.flat(g, start, rounds).collect()}
+    want = places(4)
+    monkeypatch.setattr(layout, "DRIVER", 0)
+    got = places(4)
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+    assert np.isfinite(list(places(100).values())).all()  # small differences grow over many rounds
+
+
+def test_small_world_on_the_cluster_path(spark, monkeypatch):
+    g = generators.watts_strogatz(spark, 120, 8, 0.5)
+    want = spectral.algebraic_connectivity(g)
+    monkeypatch.setattr(spectral, "DENSE", 50)
+    assert spectral.algebraic_connectivity(g) == pytest.approx(want, rel=1e-6)
+
+
+def test_refinement_on_the_cluster_path(spark, monkeypatch):
+    blocks = [(8 * b + i, 8 * b + j) for b in range(4) for i in range(8) for j in range(i + 1, 8)]
+    g = graph(spark, [*blocks, *((8 * b + 7, 8 * (b + 1) % 32) for b in range(4))])
+    monkeypatch.setattr(partition, "DRIVER", 16)
+    side = partition.bisect(g, partition.Options(coarse_limit=8))
+    assert partition.edge_cut(g, side).first()[0] == 2
+    f = partition.imbalance(side).first()
+    assert f["size_a"] == f["size_b"] == 16
+
+
+def test_quantiles_of_a_hot_value(spark):
+    x = [1.0] * 500 + [2.0, 3.0, 4.0]
+    got = {r["p"]: r["quantile"] for r in stats.quantiles(spark.createDataFrame([(v,) for v in x], "value double"), [0.0, 0.5, 0.997, 1.0]).collect()}
+    assert got[0.5] == 1.0 and got[0.0] == 1.0 and got[1.0] == 4.0
+    h = (503 + 1 / 3) * 0.997 + 1 / 3
+    assert got[0.997] == pytest.approx(3.0 + h - 502)
