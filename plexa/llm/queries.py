@@ -74,8 +74,8 @@ g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS h FROM (SELECT doc_i
 m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(8)) AS j FROM m WHERE n > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, host, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS x FROM d)),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-common AS (SELECT l.host, line FROM l JOIN hosts ON hosts.host = l.host WHERE line <> '' GROUP BY l.host, line, hosts.n HAVING count(DISTINCT doc_id) >= {lines.LEAST_DOCS} AND count(DISTINCT doc_id) > {lines.SHARE} * hosts.n),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host),
+common AS (SELECT l.host, line FROM l JOIN hosts ON hosts.host = l.host WHERE line <> '' GROUP BY l.host, line, hosts.n HAVING count(DISTINCT doc_id) >= {lines.LEAST_DOCS} AND count(DISTINCT doc_id) > {lines.GROWTH} * sqrt(hosts.n)),
 lost AS (SELECT doc_id, CAST(sum(len(string_split(l.line, ' '))) AS BIGINT) AS n FROM l JOIN common c ON c.host = l.host AND c.line = l.line GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD}))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})))) AS n_dup_lines,

@@ -21,6 +21,12 @@ CHUNK_BYTES = 2 << 20
 #: Bytes that are hashed at a time.
 HASHED = 1 << 20
 
+#: Keys that hold more than one row in so many are hot.
+HOT = 4096
+
+#: Spark removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Separators between words, as a character class for Java and Python patterns.
 SPACE = r"\x20\x09-\x0D"
 
@@ -28,8 +34,8 @@ SPACE = r"\x20\x09-\x0D"
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors share.
 
-    ``spark.checkpoint.dir`` of the session; where that is unset (local tests)
-    a temporary folder is set as the checkpoint directory.
+    ``spark.checkpoint.dir`` of the session; where that is unset, a temporary
+    folder if driver and executors are one machine (local tests), else an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -37,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = "file://" + os.path.join(tempfile.gettempdir(), "plexa-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -44,13 +52,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut and
-    lost executors cost nothing."""
+    lost executors cost nothing. The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/plexa-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(facts: DataFrame, times: str) -> DataFrame:
+    """Those rows of ``facts`` (one a key) whose ``times`` is over a ``HOT``th of the sum of all:
+    fewer than ``HOT`` rows, whatever the input."""
+    total = facts.agg(F.sum(times)).first()[0] or 0
+    return facts.where(F.col(times) > total // HOT)
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """``rows`` left joined by ``keys`` with ``facts``, a stored table of one row a key, where ``times`` is
+    how many rows have the key.
+
+    The facts of hot keys are broadcast (there are fewer than ``HOT``), so a key that holds a
+    third of all rows stays where its rows are; only the other rows are dealt by key."""
+    more = [c for c in facts.columns if c not in keys]
+    known = fresh("_hot", rows)
+    hot = hot_keys(facts, times).withColumn(known, F.lit(True))
+    tried = rows.join(F.broadcast(hot), keys, "left")
+    cold = tried.where(F.col(known).isNull()).drop(known, *more).join(facts, keys, "left")
+    return tried.where(F.col(known).isNotNull()).drop(known).unionByName(cold)
+
+
 def plain(docs: DataFrame, *more: str) -> DataFrame:
     """Columns doc_id, text (null: empty) and ``more`` of ``docs``."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
@@ -167,17 +204,12 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes stored tables that nothing needs any more, and lets Spark drop the
-    shuffle files of plans that are gone (it does so when the driver's garbage is collected)."""
-    import gc
-
+    """Deletes stored tables that nothing needs any more."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
         folder = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(table.inputFiles()[0])) if table.inputFiles() else None
         if folder is not None and folder.getName().startswith("plexa-"):
             folder.getFileSystem(conf).delete(folder, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 class Units:
