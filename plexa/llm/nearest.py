@@ -12,7 +12,13 @@ and the result is exact.
 Components x become floor(256 * x). Null vectors, and those that hold a null or
 a non-finite component, take no part. Vectors that are shorter than others
 count as filled up with zeros. Equal scores go to the smaller vec_id. A row is
-never its own result, nor is another row of the same vec_id. No vectors give no rows.
+never its own result, nor is another row of the same vec_id. Rows of one vec_id
+are one vector: as a query the least of them, as a result the one of the
+highest score. No vectors give no rows. Other columns are not looked at.
+
+Queries are answered in blocks of bounded size. A block holds queries of the same
+pivots; the distances at which these can find anything bound a range of the sorted
+index for each pivot, and files outside of all ranges are not read.
 """
 
 import math
@@ -93,9 +99,15 @@ class Best:
         score = np.concatenate([scores[q, c], self.score[mine].ravel()])
         found = np.concatenate([ids[c], self.found[mine].ravel()])
         real = np.concatenate([np.ones(len(q), bool), self.real[mine].ravel()])
+        order = np.lexsort((-score, found, ~real, of))  # of a vector that came more than once the best counts
+        of, score, found, real = of[order], score[order], found[order], real[order]
+        once = ~real | np.concatenate([[True], (of[1:] != of[:-1]) | (found[1:] != found[:-1])])
+        of, score, found, real = of[once], score[once], found[once], real[once]
         order = np.lexsort((found, -score, of))
         of, score, found, real = of[order], score[order], found[order], real[order]
-        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        mine, at = np.unique(of, return_index=True)
+        self.score[mine], self.real[mine] = -np.inf, False
+        rank = np.arange(len(of)) - np.repeat(at, np.diff(at, append=len(of)))
         top = rank < self.k
         self.score[of[top], rank[top]] = score[top]
         self.found[of[top], rank[top]] = found[top]
@@ -132,13 +144,33 @@ def build(vectors: DataFrame, count: int = PIVOTS, sample: int = SAMPLE) -> Inde
 
 def search(index: Index, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best. ``queries``: vec_id and v,
-    answered in blocks of bounded size, each a pass over the index."""
+    answered in blocks of bounded size, each a pass over the files of the index that can hold results."""
     table, width, top, shared, (sample_ids, sample) = index
     spark = table.sparkSession
-    blocks = math.ceil(queries.count() / (BLOCK * 3 / 4)) or 1
+
+    def nearest(batches):
+        for batch in batches:
+            q = _matrix(batch.column("v"), width)
+            near = _distances(np.concatenate([q, np.zeros((len(q), 1))], 1), shared.value).argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), batch.column("vec_id"), batch.column("v")], ["pivot", "vec_id", "v"])
+
+    once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    once = stored(once.select("vec_id", "v").mapInArrow(nearest, "pivot int, vec_id long, v array<double>"), "queries")
+    # a pivot of many queries has blocks of its own; those of few share one
+    blocks, room = [], 0
+    for row in once.groupBy("pivot").agg(F.count("*").alias("n")).orderBy("pivot").collect():
+        parts = math.ceil(row["n"] / (BLOCK * 3 / 4))
+        if parts > 1:
+            blocks += [(F.col("pivot") == row["pivot"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k) for k in range(parts)]
+            room = 0
+        elif room >= row["n"]:
+            blocks[-1], room = blocks[-1] | (F.col("pivot") == row["pivot"]), room - row["n"]
+        else:
+            blocks.append(F.col("pivot") == row["pivot"])
+            room = BLOCK - row["n"]
     found = None
-    for b in range(blocks):
-        own = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).toArrow()
+    for chosen in blocks:
+        own = once.where(chosen).orderBy("vec_id").toArrow()
         ids, q = own.column("vec_id").to_numpy(), _matrix(own.column("v"), width)
         best = Best(ids, k)
         best.offer(np.arange(len(ids)), q @ sample.T, sample_ids, np.full(len(ids), -np.inf))
@@ -179,8 +211,20 @@ def search(index: Index, queries: DataFrame, k: int = K) -> DataFrame:
             who, place = np.nonzero(best.real)
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(best.found[who, place]), pa.array(best.score[who, place].astype(np.int64))], ["query_id", "vec_id", "score"])
 
-        part = table.mapInArrow(expand, "query_id long, vec_id long, score long")
+        # what a query can reach beside a pivot, from its distance to it and its k-th best in the sample
+        away = _distances(np.concatenate([q, np.zeros((len(q), 1))], 1), shared.value)
+        reach = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", q, q) + top - 2 * best.score[:, -1])) * (1 + 1e-9) + 1e-6
+        low, high = (away - reach[:, None]).min(0), (away + reach[:, None]).max(0)
+        within = None
+        for c in range(len(low)):
+            if np.isfinite(high[c]):
+                inside = (F.col("pivot") == c) & F.col("dist").between(float(low[c]), float(high[c]))
+                within = inside if within is None else within | inside
+        part = (table if within is None else table.where(within)).mapInArrow(expand, "query_id long, vec_id long, score long")
         found = part if found is None else found.unionAll(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
