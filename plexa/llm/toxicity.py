@@ -1,17 +1,21 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of the text's bytes (ASCII letters in lower case),
-each present or absent. Over labelled texts, a feature's ratio is the log of
+Features are hashed n-grams of the text's characters (code points, in lower
+case), each present or absent. Over labelled texts, a feature's ratio is the log of
 its smoothed document rate among label 1 over that among label 0. A logistic
 regression is trained on the features times their ratios; its weights times
 the ratios are one fixed-size table, by which every text is scored. Scale and intercept
 are last set by a logistic fit of the label on the score.
 
 The fit uses at most ``SAMPLE`` labelled texts of each label, those of least
-hash of doc_id; labels are weighted to their
-rate over all training labels. Labels with null doc_id or toxic, and labels without a document, count
-for nothing; of several labels of one document the largest counts. Null and empty texts have no features: their score
-is the intercept's. Without labelled texts of both kinds, every score is the
+hash of doc_id among the texts of up to ``LONGEST`` characters, which bounds what
+comes to the driver; labels are weighted to their rate over all training labels.
+Labels with null doc_id or toxic, and labels without a document, count for
+nothing; of several labels of one document the largest counts, of several rows
+of a document each is a text. Null and empty texts have no features: their score
+is the intercept's. Every row is scored, whole, also if its doc_id is repeated or
+null; a row without a doc_id counts as held out. Other columns are not looked
+at (``clean`` keeps them). Without labelled texts of both kinds, every score is the
 rate of label 1 (0 if there are no labels).
 """
 
@@ -20,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import chunks, flat, plain
+from .text import chunks, plain, release, stored
 
 #: Labelled texts of each label that the fit uses at most.
 SAMPLE = 1000
+#: Characters of a text that the fit may use.
+LONGEST = 1 << 20
 ORDERS = (3, 4, 5)
 BITS = 18
 SMOOTH = 1.0
@@ -41,12 +47,10 @@ class Features:
     """Hashed n-grams that are present in a text."""
 
     def __init__(self):
-        self.lower = np.arange(256, dtype=np.uint32)
-        self.lower[65:91] += 32
         self.seen = np.zeros(1 << BITS, np.int32)
 
-    def __call__(self, data: np.ndarray) -> np.ndarray:
-        raw = self.lower[data]
+    def __call__(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         h, parts = np.zeros(len(raw), np.uint32), []
         for n in range(1, max(ORDERS) + 1):
             if len(raw) < n:
@@ -64,7 +68,7 @@ class Features:
         return found[self.seen[found] == place]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
     """Weights of the features and the intercept."""
     logit = lambda p: float(np.log(p / (1 - p)))
     size = 1 << BITS
@@ -72,7 +76,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rate: float) -> tuple[np.ndarray
     if not n1 or not n0:
         return np.zeros(size, np.float32), logit(min(max(rate, 1e-6), 1 - 1e-6))
     features = Features()
-    rows = [features(np.frombuffer(t, np.uint8)) for t in texts]
+    rows = [features(t) for t in texts]
     lengths = np.array([len(r) for r in rows])
     flat_rows = np.concatenate(rows)
     of = np.repeat(labels == 1, lengths)
@@ -117,14 +121,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """Fits on ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks.
 
     The sample's ids are at most 2 * ``sample`` rows, which bounds what is broadcast."""
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(sizes, "doc_id")
+    marked = stored(marked, "marked")
     count = marked.agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).first()
     rate = (count["ones"] or 0) / count["n"] if count["n"] else 0.0
-    chosen = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))
+    short = marked.where(F.coalesce("size", F.lit(0)) <= LONGEST)
+    chosen = [short.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    chosen = F.broadcast(chosen[0].union(chosen[1]).select("doc_id", "toxic"))
     got = plain(docs).join(chosen, "doc_id").toArrow()
+    release(docs.sparkSession, marked)
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    texts = [got.column("text")[i].as_py().encode() for i in order]
+    texts = [got.column("text")[i].as_py() for i in order]
     return fit(texts, got.column("toxic").to_numpy()[order], rate)
 
 
@@ -135,8 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def run(batches):
         (weights, intercept), features = shared.value, Features()
         for chunk in chunks(batches):
-            data, off = flat(chunk.column("text"))
-            z = np.array([weights[features(data[off[i] : off[i + 1]])].sum(dtype=np.float64) for i in range(len(chunk))]) + intercept
+            z = np.array([weights[features(t)].sum(dtype=np.float64) for t in chunk.column("text").to_pylist()]) + intercept
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -148,7 +155,7 @@ def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     held_out, score, predicted."""
     model = train(docs, labels.where(folds(F.col("doc_id"), 5) != 0), sample)
     out = score(docs, model)
-    return out.select("doc_id", (folds(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(folds(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -159,8 +166,7 @@ def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     def run(batches):
         (weights, intercept), features = shared.value, Features()
         for chunk in chunks(batches):
-            data, off = flat(chunk.column("text"))
-            keep = [weights[features(data[off[i] : off[i + 1]])].sum(dtype=np.float64) + intercept < 0 for i in range(len(chunk))]
+            keep = [weights[features(t or "")].sum(dtype=np.float64) + intercept < 0 for t in chunk.column("text").to_pylist()]
             yield chunk.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
