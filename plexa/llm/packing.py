@@ -10,7 +10,9 @@ Pieces are dealt by hash into groups of bounded size, each planned by one task;
 a group wastes at most about one bin more than a plan over all pieces would.
 
 Null and empty texts are a lone end token. A text of any length is encoded
-whole; only documents over the capacity are cut. No pieces give no rows.
+whole; only documents over the capacity are cut. No pieces give no rows. Every
+row is a document of its own, also if its doc_id is repeated or null; documents
+of equal length take each other's places. Other columns are not looked at.
 """
 
 import math
@@ -122,7 +124,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` (a stored table with doc_id, piece, length) plus sequence_id and offset."""
+    """``pieces`` (a stored table with doc_id, piece, length, ids_crc32) plus sequence_id and offset.
+
+    Pieces without a doc_id are dealt by what they hold, so only equal ones meet."""
     groups = max(1, math.ceil(pieces.count() / group))
 
     def run(key, table):
@@ -144,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         sequence += key[0].as_py() << 40
         return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups)).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
