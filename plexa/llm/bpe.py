@@ -8,6 +8,8 @@ replayed once for the slice, however often it occurs; documents are put
 together from the replayed pieces.
 
 Null and empty texts have no tokens. A text of any length is encoded whole.
+Every row gets a result, also if its doc_id is repeated or null; an empty table
+gives none. Columns beside doc_id and text are not looked at.
 """
 
 import base64
