@@ -3,12 +3,14 @@
 All rules' expressions are parsed, joined into one nondeterministic automaton
 over bytes, made deterministic by subset construction, minimised by partition
 refinement, and laid out as one flat transition array. A text is read once,
-byte by byte, for all rules; where a rule accepts, the rule's own reversed and
-forward automata (built the same way) give the span's two ends.
+byte by byte, for all rules, which finds every rule's matches; the bytes of a
+match, and only those, are read again by the rule's own reversed and forward
+automata (built the same way), which give its two ends.
 
 A rule's span is the one that ends first, begun as far left and extended as
 far right as it can be, and not overlapping the rule's span before it. Null
-and empty texts have no spans; texts are scanned whole.
+and empty texts have no spans; texts are scanned whole. Every row gets a result,
+also if its doc_id is repeated or null; an empty table gives none.
 
 The expressions know literals, ``\\`` escapes, classes with ranges and ``^``,
 groups, ``|`` and the repeats ``? * + {m} {m,} {m,n}``.
