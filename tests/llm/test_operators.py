@@ -197,6 +197,54 @@ def test_line_rules(spark):
     assert got[30]["n_words"] == 0 and got[30]["base_failed"]
 
 
+def brute_lines(rows, least=lines.LEAST_DOCS):
+    """{(doc_id, text, source)}: (n_removed_words, kept) by plain Python."""
+    norm = lambda t: [x for x in (" ".join(y.lower().split()) for y in (t or "").split("\n")) if x]
+    docs, hosts = {}, {}
+    for i, t, _, host, _ in rows:
+        if i is not None:
+            hosts.setdefault(host, set()).add(i)
+            for x in norm(t):
+                docs.setdefault((host, x), set()).add(i)
+    out = {}
+    for i, t, _, host, _ in rows:
+        gone = sum(len(x.split()) for x in norm(t) if len(docs.get((host, x), ())) >= least and len(docs[host, x]) > lines.GROWTH * len(hosts[host]) ** 0.5)
+        w = (t or "").split()
+        grams = [tuple(w[p : p + 8]) for p in range(len(w) - 7)]
+        repeated = len({q for p, g in enumerate(grams) if grams.count(g) > 1 for q in range(p, p + 8)})
+        failed = len(w) < 20 or 100 * repeated > 30 * len(w)
+        left = len(w) - gone
+        out[i, t, host] = (gone, not failed and (not gone or left >= lines.LEAST_WORDS and left >= lines.LEAST_KEPT * len(w)))
+    return out
+
+
+def test_line_frequency_against_brute_force(spark):
+    """Lines of 5 to 10% of a host's documents go; repeated rows and missing ids change nothing."""
+    rng = random.Random(8)
+    own = lambda i: " ".join(f"v{i}x{j}" for j in range(30))
+    rows = [(i, "\n".join([*(["Shared  Line of the host"] if i % 12 == 0 else []), own(i), *(["twice here"] * 2 if i % 5 == 0 else [])]), "en", "big", 1) for i in range(400)]
+    rows += [(400 + i, f"Shared line of the host\n{own(400 + i)}", "en", ("small", None)[i % 2], 1) for i in range(30)]
+    rows += [(7, rows[7][1], "en", "big", 1)] * 25  # one document, given 26 times
+    rows += [(None, f"lonely line here\n{own(9999)}", "en", "big", 1)] * 30
+    rows += [rows[0], (0, "another text of document 0\ntwice here", "en", "big", 1), (500, None, "en", "big", 1), (501, "", None, None, 1), (502, "twice here\n" * 40, "en", "big", 1)]
+    rng.shuffle(rows)
+    want = brute_lines(rows)
+    assert want[0, rows[[r[0] for r in rows].index(0)][1], "big"] and want[12, next(r[1] for r in rows if r[0] == 12), "big"][0] == 5
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = lines.judge(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add((r["n_removed_words"], r["kept"]))
+    for (i, _, _), v in want.items():
+        assert v in by[i]
+    assert all(len(v) == len({x for (j, _, _), x in want.items() if j == i}) for i, v in by.items())
+    clean = {r["doc_id"]: r["text"] for r in lines.cleaned(docs.where("doc_id = 12 or doc_id in (500, 13)")).collect()}
+    assert clean[500] is None and "Shared  Line" in clean[12]
+    clean = {r["doc_id"]: r["text"] for r in lines.cleaned(docs).collect() if r["doc_id"] in (12, 13)}
+    assert clean[12] == own(12) and clean[13] == own(13)
+
+
 def test_repeated_words_against_brute_force(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (7, 8, 9, 30, 60)]
@@ -220,6 +268,26 @@ def test_top_k(spark):
     assert nearest.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Rows given twice, ids with two vectors, and queries in several blocks."""
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    monkeypatch.setattr(nearest, "PART", 60)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (200, 4)) / 8
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [rows[0], rows[6], rows[6], rows[13], (20, [1.0, 1.0, 1.0, 1.0]), (20, [-1.0, 0.0, 0.0, 0.0])]
+    rows = [(10 * i if i % 7 == 0 else i, r) for i, r in rows]
+    got = nearest.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    vectors = {}
+    for i, r in rows:
+        vectors.setdefault(i, set()).add(tuple(int(np.floor(256 * v)) for v in r))
+    for q in (i for i in vectors if i % 50 == 0):
+        own = min(vectors[q])
+        best = sorted((-max(sum(a * b for a, b in zip(own, v, strict=True)) for v in vs), i) for i, vs in vectors.items() if i != q)[:5]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert mine == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     texts = [" ".join(words(rng, 30) + (["idiotic"] if i % 4 == 0 else [])) for i in range(400)] + [None, ""]
@@ -228,7 +296,38 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.classified(docs, labels).collect()}
     assert sum(got[i]["predicted"] == (i % 4 == 0) for i in range(400)) > 390
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.97 * len(held) > 60
     assert toxicity.classified(docs, labels.limit(0)).where("predicted = 1").count() == 0
+    nameless = docs.unionAll(spark.createDataFrame([(None, "idiotic", "en", "s", 1)], SCHEMA))
+    assert toxicity.classified(nameless, labels).where("doc_id is null").first()["held_out"]
+
+
+def test_features_against_plain_python():
+    """Present n-grams of characters, in any script and case."""
+    text = "Ab\u00c9\u65e5\u672c\u8a9e ab\u00e9\u65e5\u672c"
+    found = set(toxicity.Features()(text).tolist())
+    want = set()
+    low = [ord(c) for c in text.lower()]
+    for n in toxicity.ORDERS:
+        for at in range(len(low) - n + 1):
+            h = 0
+            for k, c in enumerate(low[at : at + n]):
+                h = (h * 0x01000193 + c + k + 1) % 2**32
+            h ^= h >> 15
+            want.add((h * 0x2C1B3C6D % 2**32) >> (32 - toxicity.BITS))
+    assert found == want
+
+
+def test_score_is_the_fitted_sum():
+    rng = random.Random(3)
+    texts = [" ".join(words(rng, 12) + (["vile"] if i % 3 == 0 else [])) for i in range(90)]
+    labels = np.array([int(i % 3 == 0) for i in range(90)])
+    weights, intercept = toxicity.fit(texts, labels, labels.mean())
+    again = toxicity.fit(texts, labels, labels.mean())
+    assert (weights == again[0]).all() and intercept == again[1]
+    z = [weights[list(set(toxicity.Features()(t).tolist()))].sum(dtype=float) + intercept for t in texts]
+    assert ((np.array(z) >= 0) == (labels == 1)).mean() > 0.95
 
 
 def test_language(spark):
@@ -240,10 +339,23 @@ def test_language(spark):
         rows.append((i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20)), lang, "s", 1))
     rows += [(200, None, "aa", "s", 0), (201, "123 456", None, "s", 0)]
     got = {r["doc_id"]: r for r in langid.identified(spark.createDataFrame(rows, SCHEMA)).collect()}
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["lang_pred"] == ("aa", "bb")[i % 2] for i in held) >= 0.97 * len(held) > 25
     assert sum(got[i]["lang_pred"] == ("aa", "bb")[i % 2] for i in range(200)) > 195
     assert got[200]["lang_pred"] == got[201]["lang_pred"] == "und"
 
 
+def test_prediction_is_the_trained_networks():
+    """The lean path over a text's segments gives what the training path gives, position by position."""
+    net = langid.Network(3, seed=5)
+    text = np.frombuffer(("Wörter und words, palabras " * 9).encode(), np.uint8)
+    first, last, row = langid._cut(np.array([0, 0, 100, len(text)]))
+    assert row.tolist() == [1] * 3 + [2] * -(-(len(text) - 100) // langid.SEGMENT)
+    got = net.segments(text, first, last - first)
+    for a, b, g in zip(first, last, got, strict=True):
+        assert g == pytest.approx(net.forward(text[None, a:b])[3][0].mean(0), abs=1e-5)
+
+
 def test_recurrent_gradients():
     net = langid.Network(3, hidden=4, seed=1)
     net.values = [v.astype(np.float64) for v in net.values]
