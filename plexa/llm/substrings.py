@@ -3,19 +3,22 @@
 A word that stands in a window of ``words`` consecutive words is removed if the
 window's word sequence also starts in a document with a smaller doc_id.
 
-Level 1 looks at windows of half that length. Of each full window only the
-half-length window of least hash stands for it (its seed), so that neighbouring
-windows share a seed and a stretch of windows with one seed, a *run*, is one
-row. Only seeds that occur again are extended to the full length: a run whose
-whole span occurs in an earlier document is covered as it is; the runs of a
-seed that occurs in different spans are taken apart into their windows, and
-these are compared one by one. From there lengths are doubled further, on a
-content-defined eighth of the runs, until no repeated window is left; that gives
-the longest doubled length at which a document repeats another (``longest``).
-
-Spans are compared by 64-bit hashes of their word sequences. Null texts have no
-words; texts are read whole. Rows of one doc_id with different texts are judged
-apart, each against smaller doc_ids only; repeated rows get the same result. Other columns are left alone.
+Lengths double level by level up to ``words``: for 50 words 13, 25 and 50. At the
+first two levels the window is known by a seed, the part of the level's length
+in it of least hash, so that neighbouring windows share a seed and a stretch of
+windows with one seed, a *run*, is one row. Windows whose 13-word seed stands in
+one document alone are done; the others' documents are read again and the
+surviving windows extended to 25-word seeds, with the same test. At the last
+level a run whose whole span occurs in an earlier document is covered as it is;
+the runs of a seed that occurs in different spans are taken apart into their
+windows, and these are compared one by one. No candidates are left then, as
+longer windows hold no word that these don't.
+
+Spans are compared by two independent 64-bit hashes of their word sequences.
+Null texts have no words; texts are read whole. Rows of one doc_id with
+different texts are judged apart, each against smaller doc_ids only; repeated
+rows get the same result. Rows without a doc_id are kept as they are and make no
+others go. An empty table gives no rows. Other columns are left alone.
 """
 
 import hashlib
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Spans, chunks, flat, fresh, release, signed, stored, word_hashes, word_spans
+from .text import Spans, chunks, flat, fresh, looked_up, release, signed, stored, word_hashes, word_spans
 
 WORDS = 50
 INDEX_BITS = 30
@@ -33,7 +36,7 @@ INDEX_BITS = 30
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, tag (tells rows of one doc_id apart) and text of ``docs``."""
-    return docs.select("doc_id", F.hash("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *more)
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -46,120 +49,122 @@ def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sequence(chunk):
+    """Word offsets of the rows, and two kinds of hashes of spans of words."""
     data, off = flat(chunk.column("text"))
     start, end, bounds = word_spans(data, off)
-    return Spans(word_hashes(data, start, end)), bounds
+    h = word_hashes(data, start, end)
+    return bounds, Spans(h), Spans(h, 0x5851F42D4C957F2D)
 
 
-def _runs(docs: DataFrame, words: int) -> DataFrame:
-    """Each run of windows with one seed: its first window, their number, and hashes of the
-    seed, of the whole span and (for an eighth of the seeds) of ever doubled spans."""
-    half = words // 2
+def _chosen(chunk, bounds: np.ndarray, name: str):
+    """Row and first word (in the chunk) of each window of the runs in column ``name``."""
+    runs = chunk.column(name)
+    at, n = (runs.flatten().field(k).to_numpy() for k in ("at", "n"))
+    row = np.repeat(np.repeat(np.arange(len(chunk)), np.diff(runs.offsets.to_numpy())), n)
+    start = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return row, bounds[row] + start
+
+
+def _runs(docs: DataFrame, words: int, part: int, left: DataFrame | None = None) -> DataFrame:
+    """Each run of windows with one seed of ``part`` words: its first window, their number, and
+    hashes of the seed and of the whole span. ``left``: doc_id, tag and the windows to look at
+    (array ``left`` of first window and number of windows); all without."""
+
+    every = left is None
 
     def run(batches):
         mask = np.uint64((1 << INDEX_BITS) - 1)
         for chunk in chunks(batches):
-            spans, bounds = _sequence(chunk)
+            bounds, seeds, spans = _sequence(chunk)
             count = int(bounds[-1])
             if count < words:
                 continue
-            at = np.arange(count - half + 1)
-            seed = spans(at, at + half)
-            least = _lowest((seed & ~mask) | at.astype(np.uint64), words - half + 1)
-            row = np.searchsorted(bounds, np.arange(len(least)), "right") - 1
-            inside = np.flatnonzero(np.arange(len(least)) + words <= bounds[row + 1])
+            at = np.arange(count - part + 1)
+            seed = seeds(at, at + part)
+            least = _lowest((seed & ~mask) | at.astype(np.uint64), words - part + 1)
+            if every:
+                inside = np.arange(len(least))
+                row = np.searchsorted(bounds, inside, "right") - 1
+                fits = inside + words <= bounds[row + 1]
+                inside, row = inside[fits], row[fits]
+            else:
+                row, inside = _chosen(chunk, bounds, "left")
+                order = np.argsort(inside, kind="stable")
+                row, inside = row[order], inside[order]
             if not len(inside):
                 continue
             place = (least[inside] & mask).astype(np.int64)
-            border = np.flatnonzero(np.diff(place, prepend=-1))
-            first = inside[border]
+            border = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(inside, prepend=-2) != 1) | (np.diff(row, prepend=-1) != 0))
+            first, row = inside[border], row[border]
             number = np.diff(border, append=len(inside))
-            seeds = seed[place[border]]
-            row = row[first]
-            longer, size = [], words * 2
-            sampled = np.flatnonzero(seeds & np.uint64(7) == 0)
-            counts = np.zeros(len(first), np.int64)
-            while len(sampled := sampled[first[sampled] + size <= bounds[row[sampled] + 1]]):
-                longer.append((sampled, spans(first[sampled], first[sampled] + size)))
-                counts[sampled] += 1
-                size *= 2
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            values = np.zeros(ends[-1], np.int64)
-            for level, (who, h) in enumerate(longer):
-                values[ends[who] + level] = signed(h)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(seeds)), pa.array(signed(spans(first, first + number + words - 1))),
+                    pa.array(signed(seed[place[border]])), pa.array(signed(spans(first, first + number + words - 1))),
                     chunk.column("doc_id").take(pa.array(row)), chunk.column("tag").take(pa.array(row)),
                     pa.array((first - bounds[row]).astype(np.int32)), pa.array(number.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
                 ],
-                ["seed", "span", "doc_id", "tag", "at", "n", "longer"],
+                ["seed", "span", "doc_id", "tag", "at", "n"],
             )
 
-    return _rows(docs).mapInArrow(run, "seed long, span long, doc_id long, tag int, at int, n int, longer array<long>")
+    rows = _rows(docs.where("doc_id is not null"))
+    if not every:
+        rows = rows.join(left, ["doc_id", "tag"])
+    return rows.mapInArrow(run, "seed long, span long, doc_id long, tag long, at int, n int")
 
 
 def _windows(docs: DataFrame, open_runs: DataFrame, words: int) -> DataFrame:
-    """Hash of each window of the open runs of the documents that have some."""
+    """Hashes of each window of the open runs of the documents that have some."""
 
     def run(batches):
         for chunk in chunks(batches):
-            spans, bounds = _sequence(chunk)
-            runs = chunk.column("open")
-            at, n = (runs.flatten().field(k).to_numpy() for k in ("at", "n"))
-            row = np.repeat(np.repeat(np.arange(len(chunk)), np.diff(runs.offsets.to_numpy())), n)
-            start = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            first = bounds[row] + start
+            bounds, one, two = _sequence(chunk)
+            row, first = _chosen(chunk, bounds, "open")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(spans(first, first + words))), chunk.column("doc_id").take(pa.array(row)), chunk.column("tag").take(pa.array(row)), pa.array(start.astype(np.int32))],
-                ["span", "doc_id", "tag", "at"],
+                [pa.array(signed(one(first, first + words))), pa.array(signed(two(first, first + words))), chunk.column("doc_id").take(pa.array(row)), chunk.column("tag").take(pa.array(row)), pa.array((first - bounds[row]).astype(np.int32))],
+                ["one", "two", "doc_id", "tag", "at"],
             )
 
-    return _rows(docs).join(open_runs, ["doc_id", "tag"]).mapInArrow(run, "span long, doc_id long, tag int, at int")
-
-
-def _longest(runs: DataFrame, words: int) -> DataFrame:
-    """doc_id and the longest doubled length at which it repeats another document."""
-    level, size, parts = 0, words * 2, []
-    left = runs.where(F.size("longer") > 0).select("doc_id", "longer")
-    while True:
-        held = left.where(F.size("longer") > level).withColumn("h", F.col("longer")[level])
-        twice = held.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-        left = stored(held.join(twice, "h").drop("h"), "level")
-        if left.isEmpty():
-            break
-        parts.append(left.select("doc_id", F.lit(size).cast("long").alias("longest")))
-        level, size = level + 1, size * 2
-    out = None
-    for part in parts:
-        out = part if out is None else out.unionAll(part)
-    return out.groupBy("doc_id").agg(F.max("longest").alias("longest")) if parts else left.sparkSession.createDataFrame([], "doc_id long, longest long")
+    return _rows(docs).join(open_runs, ["doc_id", "tag"]).mapInArrow(run, "one long, two long, doc_id long, tag long, at int")
 
 
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, tag, covered (array of first window and number of windows), longest: of each
-    document with windows that also start in a document of smaller doc_id. A stored table."""
+    """doc_id, tag, covered (array of first window and number of windows) of each document
+    with windows that also start in a document of smaller doc_id. A stored table."""
     spark = docs.sparkSession
-    runs = stored(_runs(docs, words), "runs")
-    kinds = runs.groupBy("seed", "span").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
-    mixed = kinds.groupBy("seed").agg(F.count("*").alias("spans")).where("spans > 1").select("seed")
-    again = kinds.where("times > 1").select("seed", "span", "first")
     places = F.collect_list(F.struct("at", "n"))
-    told = runs.drop("longer").join(again, ["seed", "span"], "left").withColumn("covered", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    whole = stored(told.select("seed", "doc_id", "tag", "at", "n", "covered"), "told")
-    covered = stored(whole.where("covered").groupBy("doc_id", "tag").agg(places.alias("covered")), "covered")
-    open_runs = whole.where("not covered").join(mixed, "seed", "left_semi").groupBy("doc_id", "tag").agg(places.alias("open"))
+    half = max(1, words // 2)
+    quarter = -(-half // 2)
+
+    # the first level: seeds that stand in several documents
+    runs = stored(_runs(docs, words, quarter).drop("span"), "short")
+    again = runs.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    again = stored(again.where("first < last").select("seed", "times"), "seeds")
+    left = looked_up(runs, again, ["seed"], "times").where("times is not null").groupBy("doc_id", "tag").agg(places.alias("left"))
+    left = stored(left, "left")
+    release(spark, runs, again)
+
+    # twice as long: what survived, by spans and by longer seeds
+    runs = stored(_runs(docs, words, half, left), "runs")
+    kinds = runs.groupBy("seed", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    kinds = stored(kinds, "kinds")
+    again = stored(kinds.where("first < last").select("seed", "span", "first", "times"), "again")
+    mixed = kinds.groupBy("seed").agg(F.count("*").alias("spans"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("times").alias("times"))
+    mixed = stored(mixed.where("spans > 1 and first < last").select("seed", "times"), "mixed")
+    told = looked_up(runs, again, ["seed", "span"], "times").select("seed", "doc_id", "tag", "at", "n", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("covered"))
+    told = stored(told, "told")
+    covered = stored(told.where("covered").groupBy("doc_id", "tag").agg(places.alias("covered")), "covered")
+    open_runs = looked_up(told.where("not covered"), mixed, ["seed"], "times").where("times is not null").groupBy("doc_id", "tag").agg(places.alias("open"))
     open_runs = stored(open_runs, "open")
-    longest = stored(_longest(runs, words), "longest")
-    release(spark, runs, whole)
+    release(spark, left, runs, kinds, again, mixed, told)
 
+    # the full length: window by window
     single = stored(_windows(docs, open_runs, words), "windows")
-    first = single.groupBy("span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("span", "first")
-    more = single.join(first, "span").where("doc_id > first").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("covered"))
+    first = single.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    first = stored(first.where("first < last").select("one", "two", "first", "times"), "first")
+    more = looked_up(single, first, ["one", "two"], "times").where("doc_id > first").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("covered"))
     both = covered.unionAll(more).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("covered")).alias("covered"))
-    out = stored(both.join(longest, "doc_id", "left"), "repeats")
-    release(spark, single, open_runs, covered)
+    out = stored(both, "repeats")
+    release(spark, single, first, open_runs, covered)
     return out
 
 
@@ -183,7 +188,7 @@ def _spans_of(chunk, name: str = "covered"):
 
 
 def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, longest (null: nothing repeated) of every document."""
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
     found = repeats(docs, words)
 
     def run(batches):
@@ -194,9 +199,9 @@ def digests(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 kept = all_words if covered is None else [w for w, k in zip(all_words, _kept(words, len(all_words), covered).tolist(), strict=True) if k]
                 rows.append((len(all_words), len(all_words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             a, b, c = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), chunk.column("longest")], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _rows(docs).join(found, ["doc_id", "tag"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest long")
+    return _rows(docs).join(found, ["doc_id", "tag"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -220,7 +225,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
             out = chunk.set_column(at, "text", pa.array(texts, pa.string()))
             yield out.select(columns)
 
-    tagged = docs.withColumn(tag, F.hash("text"))
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
     found = found.select("doc_id", F.col("tag").alias(tag), F.col("covered").alias(runs))
     joined = tagged.join(found, ["doc_id", tag], "left").select(*columns, runs)
     out = joined.mapInArrow(run, docs.schema)
