@@ -8,15 +8,20 @@ m / (n1 + n2 - m), where m is the length of the longest common subsequence of
 their k-mer sequences within the band that the threshold leaves; texts of
 similarity ``SIMILARITY`` or more are linked. Linked texts form classes.
 
-Texts with equal word sequences are one text from the start. In a bucket (texts
-with one key) every text is first aligned to the bucket's first text, so a
-bucket of copies costs as many alignments as it has texts. Classes are formed,
-and in buckets that still hold several classes the texts of different classes
-are aligned, so no link between classes is lost. Nothing is capped.
+Texts with equal word sequences are one text from the start. What counts is which
+texts hang together, so a pair is aligned only while its texts are in different
+classes. Texts are first aligned to the leaders (least texts) of their buckets (texts
+with one key), one leader a text and round, and classes are formed after every round: a
+family of n near copies takes about n alignments, however many buckets they share.
+Then every other pair of one bucket and different classes is looked at by bounds that
+follow from sizes, shared k-mers and k-mer parities; those that no bound rules out
+are aligned, the most promising of each two classes first, and the others only if
+the classes are still apart. So no link between classes is lost, and nothing is capped.
 
 A text of under ``K`` words has one k-mer, all its words. Texts without words
-(null, empty) are each a class of their own. The class id is its least doc_id.
-Repeated rows of a doc_id are one document, with the text of one of them.
+(null, empty) and rows without a doc_id are each a class of their own (the latter
+without an id). The class id is its least doc_id. Repeated rows of a doc_id are one
+document, with the text of least digest. An empty table gives no rows. Columns beside doc_id and text are not looked at (``dedup`` keeps them).
 """
 
 import hashlib
@@ -26,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Spans, chunks, flat, mix, plain, release, signed, stored, word_hashes, word_spans
+from .text import Spans, chunks, flat, looked_up, mix, plain, release, signed, stored, word_hashes, word_spans
 
 K = 5
 PICKED = 3
 SKETCHES = 14
 SIMILARITY = 0.8
 PLACE_BITS = 24
-STARS = 2
+#: Rounds in which a text is aligned to one leader; the next takes all leaders that are left.
+STARS = 3
+#: Pairs of two classes that the rounds after that align at most; the last takes all that are left.
+TRIES = (1, 30)
 PARITY = 32
 #: Bounds that rule a pair out give way by so much, so that rounding rules out no pair at the threshold.
 SLACK = 1e-6
@@ -90,9 +98,8 @@ def sketch(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = SK
                     keys[:, s] = key
             ends = np.zeros(len(chunk) + 1, np.int32)
             ends[full + 1] = sketches
-            digest = [hashlib.md5(b" ".join(t.split()), usedforsecurity=False).digest() for t in (data[off[i] : off[i + 1]].tobytes() for i in range(len(chunk)))]
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), pa.array(digest, pa.binary()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(signed(keys.ravel())))],
+                [chunk.column("doc_id"), pa.array(_digests(data, off), pa.binary()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(signed(keys.ravel())))],
                 ["doc_id", "digest", "size", "keys"],
             )
 
@@ -174,21 +181,27 @@ def _parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(data: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Of each text's words."""
+    return [hashlib.md5(b" ".join(data[a:b].tobytes().split()), usedforsecurity=False).digest() for a, b in zip(off, off[1:], strict=False)]
+
+
 def _words(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, words (32-bit hashes, as binary) and parity (of the k-mers) of the documents in ``ids``."""
+    """doc_id, words (32-bit hashes, as binary) and parity (of the k-mers) of the texts in ``ids`` (doc_id, digest)."""
 
     def run(batches):
         for chunk in chunks(batches):
             data, off = flat(chunk.column("text"))
+            same = np.array([a == b for a, b in zip(_digests(data, off), chunk.column("digest").to_pylist(), strict=True)])
             start, end, bounds = word_spans(data, off)
             h = word_hashes(data, start, end)
             parity = _parity(*_kmers(h, bounds, k)[:2])
             h = (h >> np.uint64(32)).astype(np.uint32)
             rows = [h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(rows, pa.binary()), pa.array(list(parity), pa.list_(pa.int64()))], ["doc_id", "words", "parity"])
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(rows, pa.binary()), pa.array(list(parity), pa.list_(pa.int64()))], ["doc_id", "words", "parity"]).filter(pa.array(same))
 
     # a merge join at every size: ids grow with the documents
-    return plain(docs).join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, words binary, parity array<long>")
+    return plain(docs).join(ids.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, words binary, parity array<long>")
 
 
 def _shared(words: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -221,85 +234,100 @@ def components(links: DataFrame) -> DataFrame:
         release(links.sparkSession, label)
         label = new.select("id", "class_id")
         if not moved:
+            release(links.sparkSession, both)
             return label
 
 
 def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links (verified links of the document's text to different texts)
-    of every document. A stored table."""
+    """doc_id, class_id, n_links (links found between the document's text and different texts;
+    enough to join the class, not all there are) of every document. A stored table."""
     spark = docs.sparkSession
     every = stored(sketch(docs, k, picked, sketches), "sketches")
-    full = every.where("size > 0 and doc_id is not null")
-    texts = stored(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "texts")
+    full = every.where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("digest", "size", "keys")).alias("t")).select("doc_id", "t.*")
+    full = stored(full, "full")
+    texts = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    texts = stored(texts, "texts")
     held = texts.select("id", "size", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = stored(held.join(shared, "key"), "buckets")
-    words = stored(_words(docs, buckets.select(F.col("id").alias("doc_id")).distinct(), k), "words")
+    shared = stored(held.groupBy("key").agg(F.count("*").alias("times"), F.min("id").alias("a"), F.min_by("size", "id").alias("a_size")).where("times > 1"), "keys")
+    member = looked_up(held, shared, ["key"], "times").where("times is not null")
+    member = stored(member.select("key", "id", "size", "a", "a_size"), "buckets")
+    ids = texts.select(F.col("id").alias("doc_id"), "digest").join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    words = stored(_words(docs, ids, k), "words")
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - SLACK  # noqa: E731  or the similarity can't be reached
-    release(spark)
-
-    # stars: a bucket's texts that are in no leader's class yet, against the first of them
-    links = tried = label = None
-    left = buckets
-    for _ in range(STARS):
-        lead = left.groupBy("key").agg(F.min("id").alias("a"), F.min_by("size", "id").alias("a_size"), F.count("*").alias("n")).where("n > 1").drop("n")
-        left = stored(left.join(lead, "key"), "stars")
-        star = left.where("id != a").where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b")).distinct()
-        star = stored(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if star.isEmpty():
-            break
-        found = stored(_aligned(star, words, k, similarity), "aligned")
-        links, tried = (found, star) if links is None else (links.unionAll(found), tried.unionAll(star))
-        label = components(links)
-        own, led = label.select("id", "class_id"), label.select(F.col("id").alias("a"), F.col("class_id").alias("a_class"))
-        left = left.where("id != a").join(own, "id", "left").join(led, "a", "left")
-        left = left.where(F.coalesce("class_id", "id") != F.coalesce("a_class", "a")).select("key", "id", "size")
-        release(spark)
-
-    if links is None:
-        links = tried = spark.createDataFrame([], "a long, b long")
-        label = spark.createDataFrame([], "id long, class_id long")
-
-    def mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-        """``members`` of the buckets that hold several classes, with their classes."""
-        named = members.join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("key")
-        return named.join(several, "key", "left_semi")
-
-    def reach(x: str, y: str):
-        both = F.col(f"{x}size") + F.col(f"{y}size")
-        differ = sum((F.bit_count(F.get(f"{x}parity", F.lit(i)).bitwiseXOR(F.get(f"{y}parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-        return (F.least(f"{x}shared", f"{y}shared") * (1 + similarity) >= similarity * both - SLACK) & (differ * (1 + similarity) <= (1 - similarity) * both + SLACK)
-
-    member = stored(mixed(buckets, label), "members")
-    open_ = stored(_shared(words, member.select("id").distinct(), k), "shared")
-    member = stored(member.join(open_, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK).join(words.select(F.col("doc_id").alias("id"), "parity"), "id").select("key", "id", "size", "shared", "parity"), "open")
-
-    # members of a bucket's largest class, drawn by hash, lead twice more; then all pairs between classes
-    for step in range(3):
-        x, y = (mixed(member, label).select("key", *(F.col(c).alias(n + c) for c in ("id", "size", "class_id", "shared", "parity"))) for n in "ab")
-        if step < 2:
-            largest = x.groupBy("key", "aclass_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("aclass_id", F.struct("n", -F.col("aclass_id"))).alias("aclass_id"))
-            x = x.join(largest, ["key", "aclass_id"]).groupBy("key").agg(F.min_by(F.struct("aid", "asize", "aclass_id", "ashared", "aparity"), F.xxhash64("aid", F.lit(step))).alias("x")).select("key", "x.*")
-        pairs = x.join(y, "key").where("aclass_id != bclass_id").where(reach("a", "b"))
-        if step == 2:
-            pairs = pairs.where("aid < bid")
-        pairs = pairs.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(_aligned(pairs, words, k, similarity), "aligned")
-        if not found.isEmpty():
+
+    links = spark.createDataFrame([], "a long, b long")
+    tried = links
+    label = spark.createDataFrame([], "id long, class_id long")
+
+    def align(pairs: DataFrame) -> int:
+        """Aligns ``pairs`` (a, b), which are new and stored, and joins classes; how many pairs there were."""
+        nonlocal links, tried, label
+        n = pairs.count()
+        if n:
+            found = stored(_aligned(pairs, words, k, similarity), "aligned")
             links, tried = links.unionAll(found), tried.unionAll(pairs)
-            label = components(links)
-        release(spark)
+            joined = stored(apart(found, "a", "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "joined")
+            if not joined.isEmpty():  # links between classes, one of each two, are all that moves labels
+                to = components(joined)
+                ids = label.unionAll(found.select(F.col("a").alias("id"), F.col("a").alias("class_id"))).unionAll(found.select("b", F.col("b").alias("class_id")))
+                ids = ids.groupBy("id").agg(F.min("class_id").alias("class_id"))
+                to = to.select(F.col("id").alias("class_id"), F.col("class_id").alias("to"))
+                old, label = label, stored(ids.join(to, "class_id", "left").select("id", F.coalesce("to", "class_id").alias("class_id")), "labels")
+                release(spark, old, to)
+            release(spark, joined)
+        return n
+
+    def apart(rows: DataFrame, *ends: str) -> DataFrame:
+        """``rows`` of different classes at the columns ``ends``, with the classes as a_class, b_class."""
+        for end, name in zip(ends, ("a_class", "b_class"), strict=True):
+            rows = rows.join(label.select(F.col("id").alias(end), F.col("class_id").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        return rows.where("a_class != b_class")
+
+    # leaders: a text's nearest in size first, one a round, then all
+    star = stored(member.where("id != a").where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct(), "stars")
+    for step in range(STARS + 1):
+        left = apart(star, "a", "b").join(tried, ["a", "b"], "left_anti")
+        if step < STARS:
+            left = left.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a"))
+        if not align(stored(left.select("a", "b"), "pairs")):
+            break
+
+    # what is left: pairs of different classes in a bucket that no bound rules out
+    named = member.select("key", "id", "size").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("times")).where("x != y")
+    several = stored(several.select("key", "times"), "several")
+    mixed = stored(looked_up(named, several, ["key"], "times").where("times is not null").drop("times"), "members")
+    shares = stored(_shared(words, mixed.select("id").distinct(), k), "shared")
+    able = mixed.join(shares, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
+    able = able.join(words.select(F.col("doc_id").alias("id"), "parity"), "id")
+    able = stored(able.select("key", "id", "size", "shared", "class_id", "parity"), "able")
+    x, y = (able.select("key", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id", "parity"))) for n in "ab")
+    both = F.col("asize") + F.col("bsize")
+    differ = sum((F.bit_count(F.get("aparity", F.lit(i)).bitwiseXOR(F.get("bparity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    reach = (F.least("ashared", "bshared") * (1 + similarity) >= similarity * both - SLACK) & (differ * (1 + similarity) <= (1 - similarity) * both + SLACK)
+    open_ = x.join(y, "key").where("aclass_id != bclass_id and aid < bid").where(fits(F.col("asize"), F.col("bsize"))).where(reach)
+    open_ = stored(open_.select(F.col("aid").alias("a"), F.col("bid").alias("b"), (differ / both).alias("gap")).groupBy("a", "b").agg(F.min("gap").alias("gap")).join(tried, ["a", "b"], "left_anti"), "open")
+    for most in (*TRIES, None):
+        left = apart(open_, "a", "b").join(tried, ["a", "b"], "left_anti")
+        if most is not None:  # of each two classes the pairs of least bounds; few at a time, so any order of them will do
+            ends = [F.least("a_class", "b_class").alias("u"), F.greatest("a_class", "b_class").alias("v")]
+            best = left.select(*ends, F.struct("gap", "a", "b").alias("p"))
+            if most == 1:
+                best = best.groupBy("u", "v").agg(F.min("p").alias("p"))
+            else:  # a share of the pairs drawn by hash, about ``most`` of each two classes
+                size = stored(best.groupBy("u", "v").agg(F.count("*").alias("times")), "sizes")
+                best = looked_up(best, size, ["u", "v"], "times").where(F.pmod(F.xxhash64("p"), F.lit(1 << 30)) * F.col("times") < (most << 30))
+            left = best.select("p.a", "p.b")
+        if not align(stored(left.select("a", "b"), "pairs")) and most is None:
+            break
     ends = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = texts.select("digest", "id").join(label, "id", "left").join(ends, "id", "left")
-    out = every.join(named, "digest", "left").select(
-        "doc_id",
-        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("class_id", "id")).alias("class_id"),
-        F.when(F.col("size") == 0, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+    named = full.select("doc_id", "digest").join(named, "digest").select("doc_id", F.coalesce("class_id", "id").alias("class_id"), "n_links")
+    out = every.select(F.col("doc_id").alias("of"), "size").join(named, F.col("of") == F.col("doc_id"), "left").select(
+        F.col("of").alias("doc_id"), F.coalesce("class_id", "of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     out = stored(out, "classes")
-    release(spark, every, texts, buckets, words, member, open_)
+    release(spark, every, full, texts, shared, member, words, star, several, mixed, shares, able, open_)
     return out
 
 
