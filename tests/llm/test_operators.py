@@ -54,6 +54,36 @@ def test_substrings(spark, texts):
     assert substrings.digests(table(spark, texts).limit(0)).count() == 0
 
 
+def test_substrings_of_hot_passages(spark, monkeypatch):
+    """A passage that most documents share, at shifting places, and rows that share a doc_id or have none."""
+    from plexa.llm import text as kernels
+
+    monkeypatch.setattr(kernels, "HOT", 8)
+    rng = random.Random(12)
+    passage, other = words(rng, 130), words(rng, 55)
+    rows = []
+    for i in range(60):
+        low = rng.randrange(0, 60)
+        mine = words(rng, rng.randrange(5, 60)) + (passage[low : low + rng.randrange(45, 75)] if i % 3 else other) + words(rng, 20)
+        rows.append((i, " ".join(mine), "en", "s", 1))
+    rows += [rows[3], (5, " ".join(passage), "en", "s", 1), (None, " ".join(passage), "en", "s", 1), (-4, " ".join(other), "en", "s", 1)]
+    rng.shuffle(rows)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.digests(spark.createDataFrame(rows, SCHEMA)).collect() if r["doc_id"] is not None)
+    first = {}
+    for i, t, *_ in rows:
+        w = t.split()
+        for p in range(len(w) - 49):
+            if i is not None:
+                first[tuple(w[p : p + 50])] = min(i, first.get(tuple(w[p : p + 50]), i))
+    want = []
+    for i, t, *_ in rows:
+        w = t.split()
+        gone = {q for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
+        if i is not None:
+            want.append((False, i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
+    assert got == sorted(want) and sum(x[3] for x in want) > 1000
+
+
 def test_substring_dedup_keeps_other_columns(spark, texts):
     from pyspark.sql import functions as F
 
@@ -176,6 +206,73 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got[250]["class_id"] == got[251]["class_id"] == 250 and got[251]["n_links"] == 1
 
 
+def exact_classes(texts, least=neardup.SIMILARITY):
+    """Components of all pairs whose banded alignment reaches the similarity, by plain dynamic programming."""
+    grams = {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        if w:
+            grams[i] = [tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))]
+    group = {i: i for i in range(len(texts))}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in grams:
+        for b in grams:
+            if a < b and len(set(grams[a]) & set(grams[b])) >= 0.5 * len(set(grams[a])):
+                x, y = grams[a], grams[b]
+                row = [0] * (len(y) + 1)
+                for p in x:
+                    new = [0]
+                    for j, q in enumerate(y):
+                        new.append(row[j] + 1 if p == q else max(row[j + 1], new[-1]))
+                    row = new
+                if row[-1] / (len(x) + len(y) - row[-1]) >= least - 1e-9:
+                    u, v = sorted((root(a), root(b)))
+                    group[v] = u
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, hot):
+    """Families of edits, chains of them, templates with other fillings, and exact copies: the classes of all pairs."""
+    from plexa.llm import text as kernels
+
+    monkeypatch.setattr(kernels, "HOT", hot)
+    rng = random.Random(21)
+    texts = []
+    for f in range(6):
+        base = [f"f{f}w{j}" for j in range(100)]
+        now = list(base)
+        for _ in range(8):  # a chain: each like the last, the ends less like each other
+            now = list(now)
+            now[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(now))
+        for _ in range(4):
+            far = list(base)
+            for j in range(0, 100, 12):
+                far[j] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(far))
+    texts += [texts[0]] * 3 + ["short text", "short text", "another one", None, ""]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == exact_classes(texts)
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    rng = random.Random(22)
+    a, b = " ".join(words(rng, 60, 10**6)), " ".join(words(rng, 60, 10**6))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (9, a, "en", "s", 1), (10, b, "en", "s", 1), (5, a, "en", "s", 1), (None, a, "en", "s", 1), (11, "", "en", "s", 1)]
+    got = [(r["doc_id"], r["class_id"]) for r in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 7 and (None, None) in got and (11, 11) in got and got.count((5, 5)) == 3
+    assert sorted(c for i, c in got if i in (9, 10)) in ([5, 9], [5, 10])
+    kept = neardup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r["doc_id"] is None for r in kept) == 1 and sum(r["doc_id"] == 5 for r in kept) == 3
+
+
 def test_common_against_table():
     rng = random.Random(2)
     for _ in range(200):
@@ -387,11 +484,68 @@ def test_mixing(spark, texts):
     for i, w in every.items():
         assert got[i]["n_tokens"] == len(w) and got[i]["n_known"] == sum(x in counts for x in w) and got[i]["train_tokens"] == n
         assert got[i]["base_score"] == pytest.approx(sum(np.log10((counts.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert got[i]["score"] < 0
+        assert got[i]["score"] < 0 and got[i]["bits_per_byte"] == pytest.approx(-got[i]["score"] * np.log2(10) / (sum(len(x) + 1 for x in w[1:]) + 1))
+
+
+def test_scores_do_not_depend_on_the_cluster(spark, texts):
+    """Other partitions, other slices of the shuffle: the same scores. And a text's score is that of its tokens in order."""
+    from pyspark.sql import functions as F
+
+    held = toxicity.folds(F.col("doc_id"), 10) == 0
+    docs = table(spark, [*texts, "w1 w2 w3", "w3 w2 w1", "W1  w2\tw3"])
+    one = {r["doc_id"]: r for r in mixing.scored(docs.coalesce(1), held).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        two = {r["doc_id"]: r for r in mixing.scored(docs.repartition(5), held).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert one.keys() == two.keys() and all(one[i]["score"] == pytest.approx(two[i]["score"], rel=1e-6) for i in one)
+    n = len(texts)
+    assert one[n]["score"] == pytest.approx(one[n + 2]["score"]) and one[n]["score"] != pytest.approx(one[n + 1]["score"], rel=1e-9)
+    assert one[n]["bits_per_byte"] == pytest.approx(-one[n]["score"] * np.log2(10) / 10)
+
+
+def test_first_bytes_see_the_word_before():
+    data = np.frombuffer(b"ab c" + b"xyz" + b"", np.uint8)
+    off = np.array([0, 4, 7, 7])
+    start, end, bounds = mixing.word_spans(data, off)
+    codes, row = mixing._firsts(data, start, end, bounds)
+    assert [mixing._first_unit(c) for c in codes.tolist()] == [b"  a", b" ab c", b" c \n", b"  x", b" yz \n", b"  \n"]
+    assert row.tolist() == [0, 0, 0, 1, 1, 2]
+    assert mixing.split(b" ab c") == (b"ab ", b"c") and mixing.split(b"word") == (b"w", b"ord ")
+
+
+def test_whole_contexts_against_plain_counts():
+    units, counts = [b"abc", b"abd", b"b", b" ab c", b" ab d", b"  a"], np.array([3, 2, 0, 5, 1, 4])
+    tokens = mixing.Tokens(units)
+    got = tokens.counted(counts)
+    seen = {}
+    for u, c in zip(units, counts, strict=True):
+        lead, body = mixing.split(u)
+        for i, byte in enumerate(body):
+            for b in range(7, -1, -1):
+                seen.setdefault((u[:1] == b" ", lead + body[:i], b, byte >> (b + 1)), [0, 0])[byte >> b & 1] += c
+    at = 0
+    for u in units:
+        lead, body = mixing.split(u)
+        for i, byte in enumerate(body):
+            for b in range(8):
+                assert got[b][:, at].tolist() == seen[u[:1] == b" ", lead + body[:i], b, byte >> (b + 1)]
+            at += 1
+    assert at == len(tokens.data)
+
+
+def _distribution(mixer, units, counts, others):
+    """Of all bytes in place of the last one of ``others``' first unit, by the model of ``units``."""
+    return mixer.scores([*units, *others], np.array([*counts, *[0] * len(others)]))[len(units) :]
 
 
 def test_bits_are_a_distribution():
-    mixing_ = mixing.Mixer(mixing.halved(np.zeros((len(mixing.ORDERS), 1 << mixing.BITS, 2), np.float32)))
-    mixing_.learn([b"ab", b"ac"], np.array([3, 1]))
-    total = sum(10 ** mixing_.scores([bytes([a])])[0] for a in range(33, 256))
-    assert 0 < total <= 1
+    mixer = mixing.Mixer(mixing.halved(np.zeros((len(mixing.ORDERS), 1 << mixing.BITS, 2), np.float32)))
+    units, counts = [b"  a", b" ab c", b" ab d"], [4, 3, 1]
+    mixer.learn(units, np.array(counts))
+    others = [b" ab " + bytes([a]) for a in range(256)]
+    assert sum(10 ** _distribution(mixer, units, counts, others)) == pytest.approx(1)
+    best = _distribution(mixer, units, counts, others).argmax()
+    assert best == ord("c")
