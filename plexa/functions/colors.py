@@ -21,6 +21,8 @@ RAMPS = {
     "grayscale": ((0, 0, 0), (255, 255, 255)),
     "cyan": ((0, 0, 0), (0, 229.5, 255)),
 }
+NODE_MODES = ("community", "degree", "in_out_ratio", "betweenness", "pagerank", "clustering", "kcore")
+EDGE_MODES = ("uniform", "community", "weight", "reciprocity", "bridge")
 LEGENDS = {
     "community": ("categorical", "Community", None, None),
     "degree": ("sequential", "Degree", "Low", "High"),

@@ -35,11 +35,11 @@ def spacing(n: int, width: float | None, height: float | None) -> float:
     return math.sqrt(width * height / max(1, n)) if width and height else math.sqrt(10000 / math.sqrt(max(1, n)))
 
 
-def repulsion(at: DataFrame, n: int, k: float) -> DataFrame:
+def repulsion(at: DataFrame, n: int, k: float, theta: float = THETA) -> DataFrame:
     """id, fx, fy: k * k / d away from every other vertex.
 
     Over ``EXACT`` vertices, far cells of a quadtree stand for their vertices: a pair of vertex
-    and cell is accepted where the cell's size is under THETA times the distance, and
+    and cell is accepted where the cell's size is under ``theta`` times the distance, and
     else opened into the cell's children, depth by depth."""
     push = lambda dx, dy, m: (m * k * k / F.greatest(dx * dx + dy * dy, F.lit(1e-4)))
     if n <= EXACT:
@@ -57,7 +57,7 @@ def repulsion(at: DataFrame, n: int, k: float) -> DataFrame:
         cells = at.groupBy(cell("x", b[0]).alias("cx"), cell("y", b[2]).alias("cy")).agg(F.count("*").alias("m"), F.avg("x").alias("u"), F.avg("y").alias("v"), F.min("id").alias("only"))
         near = opened.join(cells, ["cx", "cy"])
         dx, dy = F.col("x") - F.col("u"), F.col("y") - F.col("v")
-        far = (F.lit(edge * edge) < THETA * THETA * (dx * dx + dy * dy)) | (F.col("m") == 1) | F.lit(depth == DEPTH)
+        far = (F.lit(edge * edge) < theta * theta * (dx * dx + dy * dy)) | (F.col("m") == 1) | F.lit(depth == DEPTH)
         near = cut(near.withColumn("far", far))
         kept.append(near)
         part = near.where("far and not (m = 1 and only = id)").select("id", (dx * push(dx, dy, F.col("m"))).alias("fx"), (dy * push(dx, dy, F.col("m"))).alias("fy"))

@@ -113,6 +113,10 @@ def parse_selection(text: DataFrame, n: int) -> DataFrame:
     return text.select(F.expr("try_cast(value as long)").alias("id")).where((F.col("id") >= 0) & (F.col("id") < n)).distinct()
 
 
+def select_all(graph: Graph) -> DataFrame:
+    return graph.vertices.select("id")
+
+
 def box(points: DataFrame) -> DataFrame:
     """One row: the extent of x and y."""
     return points.agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
@@ -128,6 +132,20 @@ def on_screen(points: DataFrame, zoom: float, pan_x: float, pan_y: float) -> Dat
     return points.withColumns({"sx": F.col("x") * zoom + pan_x, "sy": F.col("y") * zoom + pan_y})
 
 
+def in_world(points: DataFrame, zoom: float, pan_x: float, pan_y: float) -> DataFrame:
+    """``points`` (sx, sy) with x, y: the inverse of ``on_screen``."""
+    return points.withColumns({"x": (F.col("sx") - pan_x) / zoom, "y": (F.col("sy") - pan_y) / zoom})
+
+
+def minimap(points: DataFrame, left: float, top: float, size: float = 140.0) -> DataFrame:
+    """id, mx, my: all points in a box of ``size`` at (left, top), with a rim of 4, to one scale and centred."""
+    extent = box(points).select("min_x", "min_y", F.greatest(F.col("max_x") - F.col("min_x"), F.lit(1.0)).alias("w"), F.greatest(F.col("max_y") - F.col("min_y"), F.lit(1.0)).alias("h"))
+    inner = size - 8
+    scale = F.least(inner / F.col("w"), inner / F.col("h"))
+    at = lambda c, low, span, start: (F.col(c) - F.col(low)) * scale + start + 4 + (inner - F.col(span) * scale) / 2
+    return points.crossJoin(F.broadcast(extent)).select("id", at("x", "min_x", "w", left).alias("mx"), at("y", "min_y", "h", top).alias("my"))  # extent: one row
+
+
 def visible(points: DataFrame, width: float, height: float, margin: float = 50) -> Column:
     """Whether a screen point is in view, with a margin."""
     return F.col("sx").between(-margin, width + margin) & F.col("sy").between(-margin, height + margin)
@@ -153,9 +171,16 @@ def in_rectangle(points: DataFrame, x1: float, y1: float, x2: float, y2: float)
     return points.where(F.col("sx").between(min(x1, x2), max(x1, x2)) & F.col("sy").between(min(y1, y2), max(y1, y2))).select("id")
 
 
-def at_pixel(order: DataFrame, px: float, py: float, width: int, height: int, n: int) -> DataFrame:
-    """role, id: the vertices of the row and the column under a pixel of the whole matrix."""
-    row, col = int(py / height * n), int(px / width * n)
+def cell(px: float, py: float, width: int, height: int, view: tuple) -> tuple[float, float]:
+    """(column, row), not whole, under a pixel of a view (x, y, width, height in cells); -1 of an empty picture."""
+    if width <= 0 or height <= 0:
+        return -1.0, -1.0
+    return view[0] + px / width * view[2], view[1] + py / height * view[3]
+
+
+def at_pixel(order: DataFrame, px: float, py: float, width: int, height: int, n: int, view: tuple | None = None) -> DataFrame:
+    """role, id: the vertices of the row and the column under a pixel of a view (without: of the whole matrix)."""
+    col, row = (int(x) for x in cell(px, py, width, height, view or (0, 0, n, n)))
     return order.where(F.col("position").isin(row, col)).select(F.explode(F.filter(F.array(F.when(F.col("position") == row, "row"), F.when(F.col("position") == col, "column")), lambda r: r.isNotNull())).alias("role"), "id")
 
 
@@ -166,6 +191,13 @@ def zoomed(view: tuple[float, float, float], n: int, x: float, y: float, closer:
     return shift(view[0], x), shift(view[1], y), size
 
 
+def panned(view: tuple[float, float, float], n: int, dx: float, dy: float) -> tuple[float, float, float]:
+    """A square view moved by shares of its size, kept inside the n x n matrix."""
+    x, y, size = view
+    keep = lambda o: min(max(o, 0), n - size)
+    return keep(x + size * dx), keep(y + size * dy), size
+
+
 def radius(base: float) -> Column:
     return base + F.least(F.lit(0.3) * F.col("degree"), F.lit(6.0))
 

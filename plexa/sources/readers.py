@@ -201,9 +201,16 @@ def read_graphml(spark: SparkSession, path: str) -> Graph:
     return Graph(nodes.select("id", "label"), e.select("eid", "src", "dst", "weight"), directed)
 
 
+def with_labels(graph: Graph, path: str) -> Graph:
+    """``graph`` with the labels of a text file, one a line in the order of the ids; vertices beyond keep theirs."""
+    names = ranked(_lines(graph.vertices.sparkSession, path).withColumnRenamed("text", "name"), "line", name="id").select("id", "name")
+    others = [c for c in graph.vertices.columns if c not in ("id", "label")]
+    return Graph(graph.vertices.join(names, "id", "left").select("id", F.coalesce("name", "label").alias("label"), *others), graph.edges, graph.directed, graph.title)
+
+
 def write_edges(graph: Graph, path: str, kind: str = "parquet") -> None:
     """The edges as a table, one folder."""
     graph.edges.write.format(kind).mode("error").save(path)
 
 
-__all__ = ["EXTENSIONS", "find_graph_files", "parse_gml", "read_edge_list", "read_gml", "read_graph", "read_graphml", "read_matrix_market", "write_edges"]
+__all__ = ["EXTENSIONS", "find_graph_files", "parse_gml", "read_edge_list", "read_gml", "read_graph", "read_graphml", "read_matrix_market", "with_labels", "write_edges"]
