@@ -13,8 +13,10 @@ texts hang together, so a pair is aligned only while its texts are in different
 classes. Texts are first aligned to the leaders (least texts) of their buckets (texts
 with one key), one leader a text and round, and classes are formed after every round: a
 family of n near copies takes about n alignments, however many buckets they share.
-Then every other pair of one bucket and different classes is looked at by bounds that
-follow from sizes, shared k-mers and k-mer parities; those that no bound rules out
+What then stands in buckets of several classes is joined exactly, not pair by pair: a
+text's k-mers are ordered by how many of these texts hold them, and two similar
+texts have one in common among the rarest fifth of each. Pairs of different classes with
+such a k-mer that bounds by size, shared k-mers and k-mer parities don't rule out
 are aligned, the most promising of each two classes first, and the others only if
 the classes are still apart. So no link between classes is lost, and nothing is capped.
 
@@ -204,20 +206,18 @@ def _words(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return plain(docs).join(ids.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, words binary, parity array<long>")
 
 
-def _shared(words: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, shared: how many of a text's k-mers another text of ``ids`` holds as well."""
+def _tokens(words: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, token: the k-mers, labelled by occurrence, of the texts in ``ids`` (id)."""
 
     def run(batches):
         for batch in batches:
             for id_, raw in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 w = np.frombuffer(raw, np.uint32).astype(np.uint64)
-                h, times = np.unique(_kmers(w, np.array([0, len(w)]), k)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), id_)), pa.array(signed(h)), pa.array(times)], ["id", "kmer", "times"])
+                h = _kmers(w, np.array([0, len(w)]), k)[0]
+                h = mix(h + _occurrence(h, np.zeros(len(h), np.int64)).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), id_)), pa.array(signed(h))], ["id", "token"])
 
-    held = words.join(ids, words["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, kmer long, times long")
-    held = stored(held, "kmers")
-    twice = held.groupBy("kmer").agg(F.count("*").alias("texts")).where("texts > 1").select("kmer")
-    return held.join(twice, "kmer").groupBy("id").agg(F.sum("times").alias("shared"))
+    return words.join(ids, words["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, token long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,43 +283,62 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
             rows = rows.join(label.select(F.col("id").alias(end), F.col("class_id").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
         return rows.where("a_class != b_class")
 
-    # leaders: a text's nearest in size first, one a round, then all
-    star = stored(member.where("id != a").where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct(), "stars")
+    # leaders: a text's nearest in size first, one a round, then all that are left
+    left = member.where("id != a").where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct()
+    left = stored(left, "stars")
     for step in range(STARS + 1):
-        left = apart(star, "a", "b").join(tried, ["a", "b"], "left_anti")
+        now = left
         if step < STARS:
-            left = left.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a"))
-        if not align(stored(left.select("a", "b"), "pairs")):
+            now = now.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a"))
+        now = stored(now.select("a", "b"), "pairs")
+        if not align(now):
             break
+        old, left = left, stored(apart(left, "a", "b").select("a", "b", "gap").join(now, ["a", "b"], "left_anti"), "stars")
+        release(spark, old)
 
-    # what is left: pairs of different classes in a bucket that no bound rules out
+    # what is left: texts in buckets of several classes
     named = member.select("key", "id", "size").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("times")).where("x != y")
     several = stored(several.select("key", "times"), "several")
-    mixed = stored(looked_up(named, several, ["key"], "times").where("times is not null").drop("times"), "members")
-    shares = stored(_shared(words, mixed.select("id").distinct(), k), "shared")
-    able = mixed.join(shares, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
-    able = able.join(words.select(F.col("doc_id").alias("id"), "parity"), "id")
-    able = stored(able.select("key", "id", "size", "shared", "class_id", "parity"), "able")
-    x, y = (able.select("key", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id", "parity"))) for n in "ab")
+    mixed = looked_up(named, several, ["key"], "times").where("times is not null").select("id", "size", "class_id").distinct()
+    mixed = stored(mixed, "members")
+    tokens = stored(_tokens(words, mixed.select("id"), k), "tokens")
+    texts_with = stored(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "frequencies")
+    held = looked_up(tokens, texts_with, ["token"], "times").where("times is not null")
+    held = held.groupBy("id").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"))
+    able = mixed.join(held, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
+    # of a text's rarest k-mers those that no other text holds come first; they can't be common to two
+    first = F.col("shared") - F.ceil(similarity * F.col("size") - SLACK) + 1
+    able = able.select("id", "size", "shared", "class_id", F.explode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("token"))
+    able = stored(able, "able")
+    several = able.groupBy("token").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("token")
+    some = stored(able.join(several, "token", "left_semi"), "some")
+    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id"))) for n in "ab")
     both = F.col("asize") + F.col("bsize")
+    open_ = x.join(y, "token").where("aclass_id != bclass_id and aid < bid").where(fits(F.col("asize"), F.col("bsize")))
+    open_ = open_.where(F.least("ashared", "bshared") * (1 + similarity) >= similarity * both - SLACK)
+    open_ = open_.select(F.col("aid").alias("a"), F.col("bid").alias("b"), both.alias("both")).distinct()
+    one, two = (words.select(F.col("doc_id").alias(n), F.col("parity").alias(f"{n}parity")) for n in "ab")
     differ = sum((F.bit_count(F.get("aparity", F.lit(i)).bitwiseXOR(F.get("bparity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-    reach = (F.least("ashared", "bshared") * (1 + similarity) >= similarity * both - SLACK) & (differ * (1 + similarity) <= (1 - similarity) * both + SLACK)
-    open_ = x.join(y, "key").where("aclass_id != bclass_id and aid < bid").where(fits(F.col("asize"), F.col("bsize"))).where(reach)
-    open_ = stored(open_.select(F.col("aid").alias("a"), F.col("bid").alias("b"), (differ / both).alias("gap")).groupBy("a", "b").agg(F.min("gap").alias("gap")).join(tried, ["a", "b"], "left_anti"), "open")
+    open_ = open_.join(one, "a").join(two, "b").select("a", "b", "both", differ.alias("differ"))
+    open_ = open_.where(F.col("differ") * (1 + similarity) <= (1 - similarity) * F.col("both") + SLACK).select("a", "b", (F.col("differ") / F.col("both")).alias("gap"))
+    left = stored(open_.join(tried, ["a", "b"], "left_anti"), "open")
     for most in (*TRIES, None):
-        left = apart(open_, "a", "b").join(tried, ["a", "b"], "left_anti")
-        if most is not None:  # of each two classes the pairs of least bounds; few at a time, so any order of them will do
+        now = apart(left, "a", "b")
+        if most is not None:  # of each two classes the pair of least bounds, then about ``most`` by hash
             ends = [F.least("a_class", "b_class").alias("u"), F.greatest("a_class", "b_class").alias("v")]
-            best = left.select(*ends, F.struct("gap", "a", "b").alias("p"))
+            now = now.select(*ends, F.struct("gap", "a", "b").alias("p"))
             if most == 1:
-                best = best.groupBy("u", "v").agg(F.min("p").alias("p"))
-            else:  # a share of the pairs drawn by hash, about ``most`` of each two classes
-                size = stored(best.groupBy("u", "v").agg(F.count("*").alias("times")), "sizes")
-                best = looked_up(best, size, ["u", "v"], "times").where(F.pmod(F.xxhash64("p"), F.lit(1 << 30)) * F.col("times") < (most << 30))
-            left = best.select("p.a", "p.b")
-        if not align(stored(left.select("a", "b"), "pairs")) and most is None:
-            break
+                now = now.groupBy("u", "v").agg(F.min("p").alias("p"))
+            else:
+                size = stored(now.groupBy("u", "v").agg(F.count("*").alias("times")), "sizes")
+                now = looked_up(now, size, ["u", "v"], "times").where(F.pmod(F.xxhash64("p"), F.lit(1 << 30)) * F.col("times") < (most << 30))
+            now = now.select("p.a", "p.b")
+        now = stored(now.select("a", "b"), "pairs")
+        align(now)
+        if most is not None:
+            old, left = left, stored(apart(left, "a", "b").select("a", "b", "gap").join(now, ["a", "b"], "left_anti"), "open")
+            release(spark, old)
     ends = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = texts.select("digest", "id").join(label, "id", "left").join(ends, "id", "left")
     named = full.select("doc_id", "digest").join(named, "digest").select("doc_id", F.coalesce("class_id", "id").alias("class_id"), "n_links")
@@ -327,7 +346,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         F.col("of").alias("doc_id"), F.coalesce("class_id", "of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     out = stored(out, "classes")
-    release(spark, every, full, texts, shared, member, words, star, several, mixed, shares, able, open_)
+    release(spark, every, full, texts, shared, member, words, mixed, tokens, texts_with, able, some, left)
     return out
 
 
