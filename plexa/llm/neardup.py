@@ -11,14 +11,17 @@ similarity ``SIMILARITY`` or more are linked. Linked texts form classes.
 Texts with equal word sequences are one text from the start. What counts is which
 texts hang together, so a pair is aligned only while its texts are in different
 classes. Texts are first aligned to the leaders (least texts) of their buckets (texts
-with one key), one leader a text and round, and classes are formed after every round: a
-family of n near copies takes about n alignments, however many buckets they share.
+with one key), one leader a text and then the others, and classes are formed after
+each: a family of n near copies takes about n alignments, however many buckets they
+share. Texts outside of their leader's class then get the least of them as leader.
 What then stands in buckets of several classes is joined exactly, not pair by pair: a
 text's k-mers are ordered by how many of these texts hold them, and two similar
-texts have one in common among the rarest fifth of each. Pairs of different classes with
-such a k-mer that bounds by size, shared k-mers and k-mer parities don't rule out
-are aligned, the most promising of each two classes first, and the others only if
-the classes are still apart. So no link between classes is lost, and nothing is capped.
+texts have one in common among the rarest fifth of each. The texts with such a k-mer
+are led by one of them in turn, like those of a bucket, the one whose k-mers are the
+commonest first. Pairs that are still of
+different classes and that bounds by size, shared k-mers and k-mer parities don't
+rule out are aligned, the most promising of each two classes first, and the others
+only if the classes are still apart. So no link between classes is lost, and nothing is capped.
 
 A text of under ``K`` words has one k-mer, all its words. Texts without words
 (null, empty) and rows without a doc_id are each a class of their own (the latter
@@ -40,8 +43,9 @@ PICKED = 3
 SKETCHES = 14
 SIMILARITY = 0.8
 PLACE_BITS = 24
-#: Rounds in which a text is aligned to one leader; the next takes all leaders that are left.
-STARS = 3
+#: Leaders in turn of a bucket, and of the texts with a rare k-mer, before the rest is joined; a turn
+#: that joins no classes is the last.
+LEADERS = (2, 4)
 #: Pairs of two classes that the rounds after that align at most; the last takes all that are left.
 TRIES = (1, 30)
 PARITY = 32
@@ -165,9 +169,21 @@ def _aligned(pairs: DataFrame, words: DataFrame, k: int, least: float) -> DataFr
                 keep.append(similar(*(_kmers(w, np.array([0, len(w)]), k)[0] for w in (x, y)), least))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    one = words.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"))
-    two = words.select(F.col("doc_id").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    one = words.select(F.col("doc_id").alias("a"), F.col("words").alias("wa"), F.col("parity").alias("aparity"))
+    two = words.select(F.col("doc_id").alias("b"), F.col("words").alias("wb"), F.col("parity").alias("bparity"))
+    count = lambda w: F.greatest(F.octet_length(w) / 4 - (k - 1), F.lit(1.0))
+    able = pairs.join(one, "a").join(two, "b").where(_even(count("wa") + count("wb"), least))
+    return able.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+
+
+def _differ():
+    """In how many cells the parities aparity and bparity differ: at most as many k-mers as are not common."""
+    return sum((F.bit_count(F.get("aparity", F.lit(i)).bitwiseXOR(F.get("bparity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+
+
+def _even(both, least: float):
+    """Whether parities let two texts of ``both`` k-mers together reach the similarity."""
+    return _differ() * (1 + least) <= (1 - least) * both + SLACK
 
 
 def _parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -248,9 +264,9 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     texts = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     texts = stored(texts, "texts")
     held = texts.select("id", "size", F.explode("keys").alias("key"))
-    shared = stored(held.groupBy("key").agg(F.count("*").alias("times"), F.min("id").alias("a"), F.min_by("size", "id").alias("a_size")).where("times > 1"), "keys")
-    member = looked_up(held, shared, ["key"], "times").where("times is not null")
-    member = stored(member.select("key", "id", "size", "a", "a_size"), "buckets")
+    shared = stored(held.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "keys")
+    member = looked_up(held, shared, ["key"], "times").where("times is not null").select("key", "id", "size")
+    member = stored(member, "buckets")
     ids = texts.select(F.col("id").alias("doc_id"), "digest").join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     words = stored(_words(docs, ids, k), "words")
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - SLACK  # noqa: E731  or the similarity can't be reached
@@ -259,15 +275,16 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     tried = links
     label = spark.createDataFrame([], "id long, class_id long")
 
-    def align(pairs: DataFrame) -> int:
-        """Aligns ``pairs`` (a, b), which are new and stored, and joins classes; how many pairs there were."""
+    def align(pairs: DataFrame) -> bool:
+        """Aligns ``pairs`` (a, b), which are new and stored; whether classes were joined."""
         nonlocal links, tried, label
-        n = pairs.count()
-        if n:
+        moved = False
+        if not pairs.isEmpty():
             found = stored(_aligned(pairs, words, k, similarity), "aligned")
             links, tried = links.unionAll(found), tried.unionAll(pairs)
             joined = stored(apart(found, "a", "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "joined")
-            if not joined.isEmpty():  # links between classes, one of each two, are all that moves labels
+            moved = not joined.isEmpty()
+            if moved:  # links between classes, one of each two, are all that moves labels
                 to = components(joined)
                 ids = label.unionAll(found.select(F.col("a").alias("id"), F.col("a").alias("class_id"))).unionAll(found.select("b", F.col("b").alias("class_id")))
                 ids = ids.groupBy("id").agg(F.min("class_id").alias("class_id"))
@@ -275,7 +292,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
                 old, label = label, stored(ids.join(to, "class_id", "left").select("id", F.coalesce("to", "class_id").alias("class_id")), "labels")
                 release(spark, old, to)
             release(spark, joined)
-        return n
+        return moved
 
     def apart(rows: DataFrame, *ends: str) -> DataFrame:
         """``rows`` of different classes at the columns ``ends``, with the classes as a_class, b_class."""
@@ -283,18 +300,29 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
             rows = rows.join(label.select(F.col("id").alias(end), F.col("class_id").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
         return rows.where("a_class != b_class")
 
-    # leaders: a text's nearest in size first, one a round, then all that are left
-    left = member.where("id != a").where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct()
-    left = stored(left, "stars")
-    for step in range(STARS + 1):
-        now = left
-        if step < STARS:
-            now = now.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a"))
-        now = stored(now.select("a", "b"), "pairs")
-        if not align(now):
-            break
-        old, left = left, stored(apart(left, "a", "b").select("a", "b", "gap").join(now, ["a", "b"], "left_anti"), "stars")
-        release(spark, old)
+    def lead(groups: DataFrame, rounds: int) -> None:
+        """Aligns the texts of ``groups`` (key, id, size, place) to their group's leaders, those of least
+        place: the nearest in size of a text's first, then the others."""
+        left = groups
+        for _ in range(rounds):
+            leader = left.groupBy("key").agg(F.min(F.struct("place", "id", "size")).alias("first"), F.count("*").alias("times")).where("times > 1")
+            leader = stored(leader.select("key", F.col("first.id").alias("a"), F.col("first.size").alias("a_size"), "times"), "leaders")
+            led = stored(looked_up(left, leader, ["key"], "times").where("a != id").drop("times"), "led")
+            star = led.where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct()
+            star = stored(apart(star.join(tried, ["a", "b"], "left_anti"), "a", "b").select("a", "b", "gap"), "stars")
+            one = stored(star.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
+            moved = align(one)
+            rest = apart(star, "a", "b").select("a", "b").join(one, ["a", "b"], "left_anti")
+            moved |= align(stored(rest, "pairs"))
+            old, left = left, stored(apart(led.withColumnRenamed("id", "b"), "a", "b").select("key", F.col("b").alias("id"), "size", "place"), "left")
+            release(spark, leader, led, star)
+            if old is not groups:
+                release(spark, old)
+            if not moved:
+                break
+        release(spark, left)
+
+    lead(member.withColumn("place", F.lit(0.0)), LEADERS[0])
 
     # what is left: texts in buckets of several classes
     named = member.select("key", "id", "size").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
@@ -305,12 +333,15 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     tokens = stored(_tokens(words, mixed.select("id"), k), "tokens")
     texts_with = stored(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "frequencies")
     held = looked_up(tokens, texts_with, ["token"], "times").where("times is not null")
-    held = held.groupBy("id").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"))
+    held = held.groupBy("id").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"), F.sum(F.log("times")).alias("common"))
     able = mixed.join(held, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
     # of a text's rarest k-mers those that no other text holds come first; they can't be common to two
     first = F.col("shared") - F.ceil(similarity * F.col("size") - SLACK) + 1
-    able = able.select("id", "size", "shared", "class_id", F.explode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("token"))
-    able = stored(able, "able")
+    able = able.select("id", "size", "shared", "class_id", (-F.col("common") / F.col("size")).alias("place"), F.explode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("token"))
+    able = prefixes = stored(able, "able")
+    # first whose k-mers the most texts hold: of edits of one text it is the one least edited
+    lead(able.select(F.col("token").alias("key"), "id", "size", "place"), LEADERS[1])
+    able = able.drop("class_id").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     several = able.groupBy("token").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("token")
     some = stored(able.join(several, "token", "left_semi"), "some")
     x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id"))) for n in "ab")
@@ -319,9 +350,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     open_ = open_.where(F.least("ashared", "bshared") * (1 + similarity) >= similarity * both - SLACK)
     open_ = open_.select(F.col("aid").alias("a"), F.col("bid").alias("b"), both.alias("both")).distinct()
     one, two = (words.select(F.col("doc_id").alias(n), F.col("parity").alias(f"{n}parity")) for n in "ab")
-    differ = sum((F.bit_count(F.get("aparity", F.lit(i)).bitwiseXOR(F.get("bparity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
-    open_ = open_.join(one, "a").join(two, "b").select("a", "b", "both", differ.alias("differ"))
-    open_ = open_.where(F.col("differ") * (1 + similarity) <= (1 - similarity) * F.col("both") + SLACK).select("a", "b", (F.col("differ") / F.col("both")).alias("gap"))
+    open_ = open_.join(one, "a").join(two, "b").where(_even(F.col("both"), similarity)).select("a", "b", (_differ() / F.col("both")).alias("gap"))
     left = stored(open_.join(tried, ["a", "b"], "left_anti"), "open")
     for most in (*TRIES, None):
         now = apart(left, "a", "b")
@@ -346,7 +375,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         F.col("of").alias("doc_id"), F.coalesce("class_id", "of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     out = stored(out, "classes")
-    release(spark, every, full, texts, shared, member, words, mixed, tokens, texts_with, able, some, left)
+    release(spark, every, full, texts, shared, member, words, mixed, tokens, texts_with, prefixes, some, left)
     return out
 
 
