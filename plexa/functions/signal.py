@@ -8,26 +8,52 @@ from pyspark.sql import functions as F
 from ..plans.iterate import ranked
 
 
+#: Values that one task transforms at a time, about.
+TASK = 1 << 18
+
+
 def spectrum(data: DataFrame, sort: bool = True, value: str = "value") -> DataFrame:
     """index, frequency, magnitude of the first half of the transform of the values without their
     mean, filled up with zeros to a power of two; magnitudes by its length. No rows below
-    four values. The transform needs all values together: one task, 8 bytes a value."""
+    four values.
+
+    The length is cut in two factors: the values are laid out as a table, its columns
+    transformed, turned by their place, and then its rows. So a task holds some columns or
+    rows, about the square root of the length each, never all values."""
     spark, n = data.sparkSession, data.count()
     kind = "index long, frequency double, magnitude double"
     if n < 4:
         return spark.createDataFrame([], kind)
-    size = 1 << (n - 1).bit_length()
+    bits = (n - 1).bit_length()
+    size, high = 1 << bits, 1 << (bits // 2)
+    wide = size // high
+    columns, rows = max(1, TASK // high), max(1, TASK // wide)
     order = [F.col("v").asc()] if sort else [F.col("id").asc()]
-    rows = ranked(data.select(F.col(value).cast("double").alias("v"), *([] if sort else ["id"])), *order)
+    placed = ranked(data.select(F.col(value).cast("double").alias("v"), *([] if sort else ["id"])), *order)
+    mean = data.agg(F.avg(F.col(value).cast("double"))).first()[0]
+    cells = placed.select((F.col("rank") % wide).alias("column"), F.floor(F.col("rank") / wide).alias("row"), (F.col("v") - mean).alias("re"))
+
+    def down(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["column"].iloc[0] // columns * columns
+        count = min(columns, wide - first)
+        x = np.zeros((high, count))
+        x[frame["row"], frame["column"] - first] = frame["re"]
+        row, column = np.meshgrid(np.arange(high), first + np.arange(count), indexing="ij")
+        y = np.fft.fft(x, axis=0) * np.exp(-2j * np.pi * row * column / size)
+        return pd.DataFrame({"row": row.ravel(), "column": column.ravel(), "re": y.real.ravel(), "im": y.imag.ravel()})
 
-    def transform(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(size)
-        x[frame["rank"]] = frame["v"] - frame["v"].mean()
-        m = np.abs(np.fft.fft(x))[: size // 2] / size
-        i = np.arange(size // 2)
-        return pd.DataFrame({"index": i, "frequency": i / size, "magnitude": m})
+    def across(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame["row"].iloc[0] // rows * rows
+        count = min(rows, high - first)
+        x = np.zeros((count, wide), complex)
+        x[frame["row"] - first, frame["column"]] = frame["re"] + 1j * frame["im"]
+        y = np.abs(np.fft.fft(x, axis=1)) / size
+        index = (first + np.arange(count))[:, None] + high * np.arange(wide)
+        kept = index < size // 2
+        return pd.DataFrame({"index": index[kept], "frequency": index[kept] / size, "magnitude": y[kept]})
 
-    return rows.select("rank", "v").groupBy().applyInPandas(transform, kind)
+    turned = cells.groupBy(F.floor(F.col("column") / columns)).applyInPandas(down, "row long, column long, re double, im double")
+    return turned.groupBy(F.floor(F.col("row") / rows)).applyInPandas(across, kind)
 
 
 def peaks(spectrum_: DataFrame, threshold: float = 0.1, most: int = 10) -> DataFrame:

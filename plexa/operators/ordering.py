@@ -33,8 +33,9 @@ def cross_rank(table: DataFrame, names, n: int = 20) -> DataFrame:
 
 
 def neighbours(graph: Graph, vertex: int) -> DataFrame:
-    """The vertices next to ``vertex``, once for each edge: id, label, degree."""
-    return graph.adj.where(F.col("id") == vertex).select(F.col("nbr").alias("id"), "eid").join(graph.vertices, "id").join(degree(graph), "id").select("id", "label", F.col("value").cast("long").alias("degree"))
+    """The vertices next to ``vertex``, once for each edge: id, label, degree, and community where the vertices have one."""
+    near = graph.adj.where(F.col("id") == vertex).select(F.col("nbr").alias("id"), "eid").join(graph.vertices, "id").join(degree(graph), "id")
+    return near.select("id", "label", F.col("value").cast("long").alias("degree"), *(c for c in ("community",) if c in graph.vertices.columns))
 
 
 def order_by(graph: Graph, mode: str, community: DataFrame | None = None) -> DataFrame:

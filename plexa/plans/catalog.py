@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import colors, signal, stats
 from ..model import Graph, induced
 from ..operators import coarsen, communities, layout, metrics, ordering, partition, spectral
-from ..sources import readers
+from ..sources import generators, readers
 from ..streaming.events import Queue
 from .iterate import cut
 
@@ -72,6 +72,12 @@ class Catalog:
 
     load_graph = graph_load
 
+    def generate(self, kind: str, id: str | None = None, **arguments) -> dict:
+        """A generated graph (complete, erdos_renyi, star, ring_lattice, barabasi_albert, watts_strogatz), with its communities."""
+        if kind not in ("complete", "erdos_renyi", "star", "ring_lattice", "barabasi_albert", "watts_strogatz"):
+            raise ValueError(f"unknown generator {kind!r}")
+        return self.graph_info(self.put(getattr(generators, kind)(self.spark, **arguments), id))
+
     def graph_list(self) -> list[dict]:
         return [self.graph_info(id_) for id_ in self.graphs]
 
@@ -135,7 +141,7 @@ class Catalog:
         return ordering.cross_rank(self._wide(id, metrics), metrics, number(top, int, 20))
 
     def graph_neighbors(self, id: str, index: int) -> DataFrame:
-        return ordering.neighbours(self.graph(id), index)
+        return ordering.neighbours(self._named(id), index)
 
     def graph_node_profile(self, id: str, index: int) -> DataFrame:
         size = self.graph(id).size

@@ -576,6 +576,16 @@ def tool_graph_info(spark, sf_dir):
     return spark.createDataFrame([("graph", found["nodes"], found["edges"], found["directed"])], "tool string, nodes long, edges long, directed boolean")
 
 
+@query("SELECT 'complete' AS kind, 20 AS nodes, 190 AS edges, 1 AS communities UNION ALL SELECT 'star', 30, 29, 1 UNION ALL SELECT 'ring_lattice', 3, 3, 1")
+def tool_generate(spark, sf_dir):
+    """Generated graphs come with their communities."""
+    c, rows = Catalog(spark), []
+    for kind, arguments in (("complete", {"n": 20}), ("star", {"n": 30}), ("ring_lattice", {"n": 3, "k": 2})):
+        found = json.loads(c.call("generate", kind=kind, **arguments))
+        rows.append((kind, found["nodes"], found["edges"], found["communities"]))
+    return spark.createDataFrame(rows, "kind string, nodes long, edges long, communities long")
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS tool, true AS all_placed, true AS within, true AS cut_as_told" for t in ("graph_bisect", "graph_partition")))
 def tool_partitions(spark, sf_dir):
     """Tools of partitions on the copurchase graph, with arguments as text."""

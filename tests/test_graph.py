@@ -96,12 +96,16 @@ def test_statistics(spark):
     assert stats.describe(constant.limit(0)).first()["mean"] == 0.0
 
 
-def test_spectrum_against_numpy(spark):
+def test_spectrum_against_numpy(spark, monkeypatch):
     x = [float((i * i) % 11) for i in range(20)]
     got = [r["magnitude"] for r in signal.spectrum(spark.createDataFrame([(v,) for v in x], "value double")).orderBy("index").collect()]
     y = np.zeros(32)
     y[:20] = np.sort(x) - np.mean(x)
-    assert got == pytest.approx((np.abs(np.fft.fft(y))[:16] / 32).tolist())
+    want = (np.abs(np.fft.fft(y))[:16] / 32).tolist()
+    assert got == pytest.approx(want)
+    monkeypatch.setattr(signal, "TASK", 8)  # so that tasks hold two columns, or a row
+    got = [(r["index"], r["magnitude"]) for r in signal.spectrum(spark.createDataFrame([(v,) for v in x], "value double")).orderBy("index").collect()]
+    assert [i for i, _ in got] == list(range(16)) and [m for _, m in got] == pytest.approx(want)
 
 
 def test_spectral(spark):
