@@ -56,14 +56,17 @@ def _labelled(graph: Graph) -> DataFrame:
 
 
 _TRADE_IDS = f"WITH {TRADE} SELECT CAST(src AS VARCHAR) AS a, CAST(dst AS VARCHAR) AS b, round_even(weight, 2) AS weight FROM e"
-_WEIGHT = F.format_string("%.2f", "weight")
+
+
+def _weight():
+    return F.format_string("%.2f", "weight")
 
 
 @query(f"{_TRADE_IDS} UNION ALL SELECT 'x', 'y', 0.0")
 def read_edge_list(spark, sf_dir):
     """Comments, blank lines, separators, a self-loop, a weight that is no number, a repeat whose first weight counts."""
     e = tables.trade(spark, sf_dir).edges
-    line = F.when(F.col("src") % 2 == 0, F.concat_ws(", ", "src", "dst", _WEIGHT)).otherwise(F.concat_ws("\t", "src", "dst", _WEIGHT))
+    line = F.when(F.col("src") % 2 == 0, F.concat_ws(", ", "src", "dst", _weight())).otherwise(F.concat_ws("\t", "src", "dst", _weight()))
     path = _written(_lines(spark, e, line, ["# Directed graph", "", "% more", "x y none"], ["x y 7", "z z 1", "lonely", "// end"]), ".txt")
     return _labelled(readers.read_graph(spark, path))
 
@@ -72,7 +75,7 @@ def read_edge_list(spark, sf_dir):
 def read_matrix_market(spark, sf_dir):
     """Entries from 1, nodes without edges, lines beyond the announced number."""
     e = tables.trade(spark, sf_dir).edges
-    line = F.concat_ws(" ", F.col("src") + 2, F.col("dst") + 2, _WEIGHT)
+    line = F.concat_ws(" ", F.col("src") + 2, F.col("dst") + 2, _weight())
     before = ["%%MatrixMarket matrix coordinate real general", "% nations", f"30 30 {e.count()}"]
     g = readers.read_graph(spark, _written(_lines(spark, e, line, before, ["1 1 3.0", "1 2 3.0"]), ".mtx"))
     return _labelled(g).unionAll(g.vertices.agg(F.lit("nodes"), F.count("*").cast("string"), F.count("*").cast("double")))

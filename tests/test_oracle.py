@@ -1,6 +1,8 @@
 """The queries against DuckDB on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -32,6 +34,11 @@ def test_query(spark, duck, name):
     assert a.equals(b.astype(a.dtypes.to_dict())) or (a.round(5).astype(str) == b.round(5).astype(str)).all().all()
 
 
+def test_import_needs_no_session():
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and len(q) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry_point.__file__)))
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 15
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
