@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import chunks, flat, plain
+from .text import chunks, flat, plain, release, stored
 from .toxicity import folds
 
 HIDDEN = 12
@@ -32,6 +32,8 @@ LONGEST = 1 << 20
 STEPS = 700
 BATCH = 128
 RATE = 0.01
+#: Tasks that draw the sample of one language at first.
+SPREAD = 64
 UNKNOWN = "und"
 
 
@@ -182,10 +184,13 @@ def _cut(off: np.ndarray):
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[Network, list[str]] | None:
     """Trains on ``docs`` with text and lang; None if there is nothing to learn from."""
     known = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.octet_length("text").between(1, LONGEST)).select("doc_id", "lang").distinct()
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).select("doc_id", "lang")
+    ids = known.where(F.octet_length("text").between(1, LONGEST)).select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.hash("doc_id"), F.lit(SPREAD)))
+    for by in (("lang", "part"), ("lang",)):  # so that one language's documents don't meet in one task
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).drop("n")
+    ids = stored(ids.select("doc_id", "lang"), "sample")  # Spark sees its size and sends it to the texts if that is small
     got = known.where(F.octet_length("text") <= LONGEST).join(ids, ["doc_id", "lang"]).distinct().toArrow()
+    release(docs.sparkSession, ids)
     if not got.num_rows:
         return None
     languages = sorted(set(got.column("lang").to_pylist()))
