@@ -49,6 +49,7 @@ LEADERS = (2, 4)
 #: Pairs of two classes that the rounds after that align at most; the last takes all that are left.
 TRIES = (1, 30)
 PARITY = 32
+FOLDED = 4
 #: Bounds that rule a pair out give way by so much, so that rounding rules out no pair at the threshold.
 SLACK = 1e-6
 
@@ -181,9 +182,17 @@ def _differ():
     return sum((F.bit_count(F.get("aparity", F.lit(i)).bitwiseXOR(F.get("bparity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
 
 
-def _even(both, least: float):
+def _even(both, least: float, differ=None):
     """Whether parities let two texts of ``both`` k-mers together reach the similarity."""
-    return _differ() * (1 + least) <= (1 - least) * both + SLACK
+    return (_differ() if differ is None else differ) * (1 + least) <= (1 - least) * both + SLACK
+
+
+def _folded(parity: str, i: int):
+    """Word i of a parity folded to ``FOLDED`` words: the parity of fewer, larger cells, with the same bound."""
+    out = F.get(parity, F.lit(i))
+    for k in range(i + FOLDED, PARITY, FOLDED):
+        out = out.bitwiseXOR(F.get(parity, F.lit(k)))
+    return out
 
 
 def _parity(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -302,18 +311,21 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
 
     def lead(groups: DataFrame, rounds: int) -> None:
         """Aligns the texts of ``groups`` (key, id, size, place) to their group's leaders, those of least
-        place: the nearest in size of a text's first, then the others."""
+        place. At first to the nearest in size of a text's leaders, then to all others."""
         left = groups
-        for _ in range(rounds):
+        for step in range(rounds):
             leader = left.groupBy("key").agg(F.min(F.struct("place", "id", "size")).alias("first"), F.count("*").alias("times")).where("times > 1")
             leader = stored(leader.select("key", F.col("first.id").alias("a"), F.col("first.size").alias("a_size"), "times"), "leaders")
             led = stored(looked_up(left, leader, ["key"], "times").where("a != id").drop("times"), "led")
             star = led.where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct()
             star = stored(apart(star.join(tried, ["a", "b"], "left_anti"), "a", "b").select("a", "b", "gap"), "stars")
-            one = stored(star.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
-            moved = align(one)
-            rest = apart(star, "a", "b").select("a", "b").join(one, ["a", "b"], "left_anti")
-            moved |= align(stored(rest, "pairs"))
+            moved = False
+            if not step:
+                one = stored(star.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
+                moved = align(one)
+                star, old = stored(apart(star, "a", "b").select("a", "b", "gap").join(one, ["a", "b"], "left_anti"), "stars"), star
+                release(spark, old)
+            moved |= align(stored(star.select("a", "b"), "pairs"))
             old, left = left, stored(apart(led.withColumnRenamed("id", "b"), "a", "b").select("key", F.col("b").alias("id"), "size", "place"), "left")
             release(spark, leader, led, star)
             if old is not groups:
@@ -343,11 +355,14 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     lead(able.select(F.col("token").alias("key"), "id", "size", "place"), LEADERS[1])
     able = able.drop("class_id").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     several = able.groupBy("token").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("token")
-    some = stored(able.join(several, "token", "left_semi"), "some")
-    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id"))) for n in "ab")
+    folds = [f"fold{i}" for i in range(FOLDED)]
+    some = able.join(several, "token", "left_semi").join(words.select(F.col("doc_id").alias("id"), *(_folded("parity", i).alias(f) for i, f in enumerate(folds))), "id")
+    some = stored(some.select("token", "id", "size", "shared", "class_id", *folds), "some")
+    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id", *folds))) for n in "ab")
     both = F.col("asize") + F.col("bsize")
     open_ = x.join(y, "token").where("aclass_id != bclass_id and aid < bid").where(fits(F.col("asize"), F.col("bsize")))
     open_ = open_.where(F.least("ashared", "bshared") * (1 + similarity) >= similarity * both - SLACK)
+    open_ = open_.where(_even(both, similarity, sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in folds), F.lit(0))))
     open_ = open_.select(F.col("aid").alias("a"), F.col("bid").alias("b"), both.alias("both")).distinct()
     one, two = (words.select(F.col("doc_id").alias(n), F.col("parity").alias(f"{n}parity")) for n in "ab")
     open_ = open_.join(one, "a").join(two, "b").where(_even(F.col("both"), similarity)).select("a", "b", (_differ() / F.col("both")).alias("gap"))
