@@ -281,7 +281,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - SLACK  # noqa: E731  or the similarity can't be reached
 
     links = spark.createDataFrame([], "a long, b long")
-    tried = links
+    tried, made = links, []
     label = spark.createDataFrame([], "id long, class_id long")
 
     def align(pairs: DataFrame) -> bool:
@@ -291,6 +291,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         if not pairs.isEmpty():
             found = stored(_aligned(pairs, words, k, similarity), "aligned")
             links, tried = links.unionAll(found), tried.unionAll(pairs)
+            made.extend((pairs, found))
             joined = stored(apart(found, "a", "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "joined")
             moved = not joined.isEmpty()
             if moved:  # links between classes, one of each two, are all that moves labels
@@ -390,7 +391,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         F.col("of").alias("doc_id"), F.coalesce("class_id", "of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     out = stored(out, "classes")
-    release(spark, every, full, texts, shared, member, words, mixed, tokens, texts_with, prefixes, some, left)
+    release(spark, every, full, texts, shared, member, words, mixed, tokens, texts_with, prefixes, some, left, label, *made)
     return out
 
 
