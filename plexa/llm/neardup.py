@@ -177,9 +177,28 @@ def _aligned(pairs: DataFrame, words: DataFrame, k: int, least: float) -> DataFr
     return able.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def _differ():
+def _fits(x, y, similarity: float):
+    """Whether two texts of x and y k-mers can reach the similarity."""
+    return F.least(x, y) >= similarity * F.greatest(x, y) - SLACK
+
+
+def _open(x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
+    """aid, bid, gap (the share of cells of the parities that differ) of the pairs of different classes that meet
+    at a k-mer (token) and that no bound rules out there. Texts list their k-mers in one order; ``before``
+    of them come before the token, ``shared`` there are. If the token is the first that the two have in
+    common, they have at most as many as come from there on; so a similar pair is not ruled out at its first."""
+    both = F.col("asize") + F.col("bsize")
+    able = (F.col("aclass_id") != F.col("bclass_id")) & (F.col("aid") < F.col("bid")) & _fits(F.col("asize"), F.col("bsize"), similarity)
+    rest = F.least(F.col("ashared") - F.col("abefore"), F.col("bshared") - F.col("bbefore"))
+    able &= rest * (1 + similarity) >= similarity * both - SLACK
+    able &= _even(both, similarity, _differ("fold", FOLDED))  # few words first, as most pairs end there
+    able &= _even(both, similarity)
+    return x.join(y, "token").where(able).select("aid", "bid", (_differ() / both).alias("gap"))
+
+
+def _differ(column: str = "parity", words: int = PARITY):
     """In how many cells the parities aparity and bparity differ: at most as many k-mers as are not common."""
-    return sum((F.bit_count(F.get("aparity", F.lit(i)).bitwiseXOR(F.get("bparity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    return sum((F.bit_count(F.get(f"a{column}", F.lit(i)).bitwiseXOR(F.get(f"b{column}", F.lit(i)))) for i in range(words)), F.lit(0))
 
 
 def _even(both, least: float, differ=None):
@@ -278,7 +297,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     member = stored(member, "buckets")
     ids = texts.select(F.col("id").alias("doc_id"), "digest").join(member.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     words = stored(_words(docs, ids, k), "words")
-    fits = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - SLACK  # noqa: E731  or the similarity can't be reached
+    fits = lambda x, y: _fits(x, y, similarity)
 
     links = spark.createDataFrame([], "a long, b long")
     tried, made = links, []
@@ -350,23 +369,17 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     able = mixed.join(held, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
     # of a text's rarest k-mers those that no other text holds come first; they can't be common to two
     first = F.col("shared") - F.ceil(similarity * F.col("size") - SLACK) + 1
-    able = able.select("id", "size", "shared", "class_id", (-F.col("common") / F.col("size")).alias("place"), F.explode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("token"))
+    able = able.select("id", "size", "shared", "class_id", (-F.col("common") / F.col("size")).alias("place"), F.posexplode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("before", "token"))
     able = prefixes = stored(able, "able")
     # first whose k-mers the most texts hold: of edits of one text it is the one least edited
     lead(able.select(F.col("token").alias("key"), "id", "size", "place"), LEADERS[1])
     able = able.drop("class_id").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     several = able.groupBy("token").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("token")
-    folds = [f"fold{i}" for i in range(FOLDED)]
-    some = able.join(several, "token", "left_semi").join(words.select(F.col("doc_id").alias("id"), *(_folded("parity", i).alias(f) for i, f in enumerate(folds))), "id")
-    some = stored(some.select("token", "id", "size", "shared", "class_id", *folds), "some")
-    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "class_id", *folds))) for n in "ab")
-    both = F.col("asize") + F.col("bsize")
-    open_ = x.join(y, "token").where("aclass_id != bclass_id and aid < bid").where(fits(F.col("asize"), F.col("bsize")))
-    open_ = open_.where(F.least("ashared", "bshared") * (1 + similarity) >= similarity * both - SLACK)
-    open_ = open_.where(_even(both, similarity, sum((F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}"))) for f in folds), F.lit(0))))
-    open_ = open_.select(F.col("aid").alias("a"), F.col("bid").alias("b"), both.alias("both")).distinct()
-    one, two = (words.select(F.col("doc_id").alias(n), F.col("parity").alias(f"{n}parity")) for n in "ab")
-    open_ = open_.join(one, "a").join(two, "b").where(_even(F.col("both"), similarity)).select("a", "b", (_differ() / F.col("both")).alias("gap"))
+    some = able.join(several, "token", "left_semi").join(words.select(F.col("doc_id").alias("id"), "parity", F.array(*(_folded("parity", i) for i in range(FOLDED))).alias("fold")), "id")
+    some = stored(some.select("token", "id", "size", "shared", "before", "class_id", "parity", "fold"), "some")
+    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "before", "class_id", "parity", "fold"))) for n in "ab")
+    open_ = _open(x, y, similarity)
+    open_ = open_.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b")).agg(F.min("gap").alias("gap"))
     left = stored(open_.join(tried, ["a", "b"], "left_anti"), "open")
     for most in (*TRIES, None):
         now = apart(left, "a", "b")

@@ -549,3 +549,28 @@ def test_bits_are_a_distribution():
     assert sum(10 ** _distribution(mixer, units, counts, others)) == pytest.approx(1)
     best = _distribution(mixer, units, counts, others).argmax()
     assert best == ord("c")
+
+
+def test_pairs_are_ruled_out_where_they_meet(spark):
+    """Of texts that share rare k-mers the join gives those that all bounds let be similar, at fewer k-mers than they share."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 200)
+    texts = [np.where(rng.random(200) < rate, rng.integers(0, 1 << 62, 200), base) for rate in [0.5] * 30 + [0.03] * 4]
+    hashes = np.concatenate(texts).astype(np.uint64)
+    offsets = np.arange(len(texts) + 1) * 200
+    parity = neardup._parity(hashes, offsets)
+    times = {k: n for k, n in zip(*np.unique(hashes, return_counts=True), strict=True)}
+    rows = []
+    for i, t in enumerate(texts):
+        held = sorted((times[k], int(k)) for k in t.astype(np.uint64) if times[k] > 1)
+        fold = [int(np.bitwise_xor.reduce(parity[i][j :: neardup.FOLDED])) for j in range(neardup.FOLDED)]
+        rows += [(k, i, 200, len(held), at, i, parity[i].tolist(), fold) for at, (_, k) in enumerate(held[: max(0, len(held) - 159)])]
+    some = spark.createDataFrame(rows, "token long, id long, size long, shared long, before int, class_id long, parity array<long>, fold array<long>")
+    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in some.columns[1:])) for n in "ab")
+    found = [(r["aid"], r["bid"]) for r in neardup._open(x, y, 0.8).collect()]
+    alike = {(i, j) for i in range(34) for j in range(i + 1, 34) if len(np.intersect1d(texts[i], texts[j])) * 1.8 >= 0.8 * 400}
+    assert alike <= set(found) and set(found) - alike == set() and len(alike) >= 6
+    meet = x.join(y, "token").where("aid < bid and aclass_id != bclass_id").count()
+    assert len(found) < meet / 2
