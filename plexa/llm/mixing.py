@@ -17,19 +17,23 @@ probability given its past, the text's is their product, and equal units of the
 whole corpus are counted, learned and scored once.
 
 What is gathered grows with the corpus: counts of tokens and of whole contexts are
-exact, for all training texts, and stay distributed; units that share a context
-(the same two bytes before, or the same first four bytes of the word) are dealt to one
-group, which counts it. Only what has a natural bound is broadcast: the predictors of
-one to four bytes (hashed to a fixed number of slots), weights and refinement. A slice
-of the corpus is a *block*: its distinct units leave it once and their scores come back.
+exact, for all training texts, and stay distributed; units that share a context (the
+same two bytes before, or a word's first bytes) are dealt to one group, which counts it.
+Where over ``GROUP // 4`` words share their first bytes, they are dealt by one byte more,
+as often as it takes, and the contexts that their groups share, the *trunk*, are counted
+over all of them. So whole contexts count the whole corpus, however it is dealt: no score
+knows which group its word is in. What is broadcast has a bound: the predictors of one to
+four bytes (hashed to a fixed number of slots), weights, refinement, and the trunk (at
+most one context of a length for every ``GROUP // 4`` different words, with up to 256 next
+bytes). A slice of the corpus is a *block*: its distinct units leave it once and their
+scores come back.
 
 Groups and blocks are made by the data alone, so scores don't depend on the cluster.
-If over ``8 * GROUP`` units share their first four bytes, they are dealt by eight, and
-whole contexts of under eight bytes are then counted by group. Null and empty texts are
-a lone end. Texts are scored whole. Every row is a text of its own, also if its doc_id
-is repeated; a row with a null doc_id counts as held out. Without training texts every
-token has the score of an untrained model; an empty table gives no rows. Other columns
-are not looked at.
+There is a group for every ``GROUP`` units, about; each learns weights from its own, and
+the average counts. Null and empty texts are a lone end. Texts are scored whole. Every
+row is a text of its own, also if its doc_id is repeated; a row with a null doc_id counts
+as held out. Without training texts every token has the score of an untrained model; an
+empty table gives no rows. Other columns are not looked at.
 """
 
 import math
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Spans, chunks, flat, looked_up, mix, release, signed, stored, word_hashes, word_spans
+from .text import Spans, chunks, flat, mix, release, signed, stored, word_hashes, word_spans
 
 #: Context lengths in bytes of the predictors with a fixed number of slots.
 ORDERS = (1, 2, 3, 4)
@@ -207,13 +211,21 @@ class Tokens:
         salt = self.node(bit)[rows] * np.uint64(0x9E3779B97F4A7C15)
         return [((c[rows] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64) for c in self.contexts]
 
-    def counted(self, trained: np.ndarray) -> np.ndarray:
-        """(bits, 2, bytes): how often 0 and 1 came after each whole context, by ``trained`` of the units."""
-        out = np.empty((8, 2, len(self.data)), np.float32)
+    def counted(self, trained: np.ndarray, trunk: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """(bits, 2, bytes): how often 0 and 1 came after each whole context, by ``trained`` of the units.
+        The contexts of ``trunk`` (contexts, next bytes, how often) are counted by it alone."""
+        whole, byte, mass = self.whole, self.data, trained.astype(np.float64)[self.token]
+        if trunk is not None and len(trunk[0]):
+            known = np.unique(trunk[0])
+            hit = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
+            mass[hit] = 0
+            met = np.isin(trunk[0], whole[hit])
+            whole, byte, mass = (np.concatenate([own, more[met]]) for own, more in zip((whole, byte, mass), trunk, strict=True))
+        out = np.empty((8, 2, len(byte)), np.float32)
         # by context and byte: what shares a context and the upper bits of the byte then stands together
-        order = np.lexsort((self.data, self.whole))
-        whole, byte = self.whole[order], self.data[order]
-        mass = np.concatenate([[0.0], np.cumsum(trained.astype(np.float64)[self.token[order]])])
+        order = np.lexsort((byte, whole))
+        whole, byte = whole[order], byte[order]
+        mass = np.concatenate([[0.0], np.cumsum(mass[order])])
         fresh = np.concatenate([[True], whole[1:] != whole[:-1]])
         for b in range(8):
             upper = byte >> b  # with the bit itself
@@ -224,7 +236,7 @@ class Tokens:
             sizes = np.diff(np.append(edge, len(byte)))
             for y in (0, 1):
                 out[b, y, order] = np.repeat(np.bincount(node, sums * (bit == y))[node], sizes)
-        return out
+        return out[:, :, : len(self.data)]
 
     def batches(self, units: int):
         """Slices of the predicted bytes, of about so many units each."""
@@ -232,12 +244,21 @@ class Tokens:
         yield from (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
 
+def _trunk(children: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
+    """Contexts, next bytes and how often, of beginnings of words (a space after each word) of two bytes or more."""
+    if not children:
+        return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0)
+    tokens = Tokens([c for c, _ in children])
+    at = np.cumsum([len(c) for c, _ in children], dtype=np.int64) - 2
+    return tokens.whole[at], tokens.data[at], np.array([n for _, n in children], np.float64)
+
+
 class Mixer:
-    """``tables``: (orders, slots) counts of 0 and 1, two 16-bit floats each. ``weights``: (gates, inputs). ``refined``: (gates,
+    """``tables``: (orders, slots) counts of 0 and 1, two 16-bit floats each. ``trunk``: contexts that groups share. ``weights``: (gates, inputs). ``refined``: (gates,
     steps, 2), how often a bit came and was 1 at a mixed logit near a step."""
 
-    def __init__(self, tables: np.ndarray):
-        self.tables = tables
+    def __init__(self, tables: np.ndarray, trunk: tuple[np.ndarray, ...] | None = None):
+        self.tables, self.trunk = tables, trunk
         self.weights = np.full((GATES, INPUTS), 0.35)
         self.squares = np.full((GATES, INPUTS), 1e-3)
         self.refined = np.zeros((GATES, STEPS, 2))
@@ -276,7 +297,7 @@ class Mixer:
     def learn(self, units: list[bytes], counts: np.ndarray) -> None:
         """One online pass over units that occur ``counts`` times."""
         tokens = Tokens(units)
-        whole = tokens.counted(counts)
+        whole = tokens.counted(counts, self.trunk)
         every = counts.astype(np.float64)[tokens.token]
         for rows in tokens.batches(2000):
             mass = every[rows]
@@ -300,7 +321,7 @@ class Mixer:
         centre = 1 / (1 + np.exp(-np.linspace(-16, 16, STEPS)))
         adapted = (self.refined[:, :, 1] + 8 * centre) / (self.refined[:, :, 0] + 8)
         tokens = Tokens(units)
-        whole = tokens.counted(counts)
+        whole = tokens.counted(counts, self.trunk)
         total = np.zeros(len(tokens.data))
         for rows in tokens.batches(20_000):
             for b in range(7, -1, -1):
@@ -363,26 +384,38 @@ def _tables(counts: DataFrame) -> np.ndarray:
     return halved(tables.reshape(len(ORDERS), 1 << BITS, 2))
 
 
-def _grouped(counts: DataFrame) -> DataFrame:
-    """``counts`` with ``part``: units that share a whole context have the same."""
+def _grouped(counts: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
+    """``counts`` with ``part``, and the trunk: units that share a whole context have the same part, but
+    for the trunk's contexts."""
     is_first = F.substring("unit", 1, 1) == F.lit(b" ")
-    rows = counts.withColumn("prefix", F.when(is_first, F.expr("substring(unit, 1, length(unit) - 1)")).otherwise(F.substring("unit", 1, 4)))
-    sizes = stored(rows.where(~is_first).groupBy("prefix").agg(F.count("*").alias("times")).where(F.col("times") > 8 * GROUP), "prefixes")
-    longer = F.when(F.col("times").isNotNull() & ~is_first, F.substring("unit", 1, 8)).otherwise(F.col("prefix"))
+    word = F.concat("unit", F.lit(b" "))
+    words = counts.where(~is_first)
+    under, size, length, children = words, 1, F.lit(1), []
+    while True:
+        heads = under.groupBy(F.substring(word, 1, size).alias("head")).agg(F.count("*").alias("times"), F.sum("trained").alias("trained"))
+        rows = heads.collect()  # at most 256 for each hot head of a byte less
+        if size > 1:
+            children += [(bytes(r["head"]), r["trained"]) for r in rows if r["trained"]]
+        hot = [bytes(r["head"]) for r in rows if r["times"] > max(1, GROUP // 4)]
+        if not hot:
+            break
+        is_hot = F.substring(word, 1, size).isin(hot)
+        under, length, size = words.where(is_hot), length + is_hot.cast("int"), size + 1
+    key = F.when(is_first, F.expr("substring(unit, 1, length(unit) - 1)")).otherwise(F.substring(word, F.lit(1), length))
     parts = max(1, math.ceil(counts.count() / GROUP))
-    return looked_up(rows, sizes, ["prefix"], "times").withColumn("part", F.pmod(F.xxhash64(longer), F.lit(parts))).drop("prefix", "times")
+    return counts.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts))), _trunk(children)
 
 
-def train(counts: DataFrame) -> Mixer:
-    """The model of ``counts`` (hash, unit, trained, part): predictor counts, then weights and
+def train(counts: DataFrame, trunk: tuple[np.ndarray, ...]) -> Mixer:
+    """The model of ``counts`` (hash, unit, trained, part) and their ``trunk``: predictor counts, then weights and
     refinement learned online by each group over its units, in the order of their hashes, and
     averaged by the units' number."""
     tables = _tables(counts)
-    shared = counts.sparkSession.sparkContext.broadcast(tables)
+    shared = counts.sparkSession.sparkContext.broadcast((tables, trunk))
 
     def learn(table):
         table = table.sort_by([("hash", "ascending"), ("unit", "ascending")])
-        mixer, trained = Mixer(shared.value), table.column("trained").to_numpy()
+        mixer, trained = Mixer(*shared.value), table.column("trained").to_numpy()
         mixer.learn(table.column("unit").to_pylist(), trained)
         mass = float(trained.sum())
         values = np.concatenate([[mass], (mass * mixer.weights).ravel(), mixer.refined.ravel()])
@@ -390,7 +423,7 @@ def train(counts: DataFrame) -> Mixer:
 
     learned = counts.where("trained > 0").groupBy("part").applyInArrow(learn, "values array<double>")
     sums = learned.select(F.posexplode("values").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
-    mixer = Mixer(tables)
+    mixer = Mixer(tables, trunk)
     got = {r["at"]: r["value"] for r in sums.collect()}  # as many numbers as a mixer has, whatever the input
     if got:
         values = np.array([got[i] for i in range(len(got))])
@@ -413,13 +446,14 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     words = counts.where((F.col("trained") > 0) & (F.substring("unit", 1, 1) != F.lit(b" ")))
     facts = words.agg(F.sum("trained").alias("n"), F.count("*").alias("v")).first()
     n, v = (facts["n"] or 0) + ends, facts["v"] + (ends > 0)
-    dealt = stored(_grouped(counts), "units")
+    dealt, trunk = _grouped(counts)
+    dealt = stored(dealt, "units")
     release(spark, counts)
-    mixer = train(dealt)
+    mixer = train(dealt, trunk)
     shared, weights, refined = mixer.shared, mixer.weights, mixer.refined
 
     def score(table):
-        model = Mixer(shared.value)
+        model = Mixer(*shared.value)
         model.weights, model.refined = weights, refined
         units, c = table.column("unit").to_pylist(), table.column("trained").to_numpy()
         word = np.array([u[:1] != b" " for u in units])

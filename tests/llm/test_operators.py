@@ -536,6 +536,48 @@ def test_whole_contexts_against_plain_counts():
     assert at == len(tokens.data)
 
 
+def test_whole_contexts_count_the_corpus_however_it_is_dealt(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    words = {w for n in (3, 4, 6, 9, 12) for w in ("".join(x) for x in rng.choice(list("ab"), (60, n)))} | {f"abab{a}bb{b}" for a in "abcdefghijklmnop" for b in "abcdefgh"} | {"abab", "ababa"}
+    words = sorted(words | {f"https://www.{i}" for i in range(40)})
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    docs = table(spark, texts)
+    # the model before it learns from its groups: what contexts count is all that its scores depend on
+    def untaught(counts, *trunk):
+        mixer = mixing.Mixer(mixing._tables(counts), *trunk)
+        mixer.shared = spark.sparkContext.broadcast((mixer.tables, *trunk) if trunk else mixer.tables)
+        return mixer
+
+    monkeypatch.setattr(mixing, "train", untaught)
+    score = lambda: {r["doc_id"]: r["score"] for r in mixing.scored(docs, F.col("doc_id") % 10 == 0).collect()}
+    one = score()
+    monkeypatch.setattr(mixing, "GROUP", 1)
+    assert score() == pytest.approx(one, rel=1e-9)
+    # and by brute force, unit by unit
+    units = [(w.encode(), i % 5) for i, w in enumerate(words)] + [(b" " + w[-2:].encode() + b" a", 1) for w in words[:9]]
+    dealt, trunk = mixing._grouped(spark.createDataFrame([(i, bytearray(u), n) for i, (u, n) in enumerate(units)], "hash long, unit binary, trained long"))
+    seen = {}
+    for u, n in units:
+        lead, body = mixing.split(u)
+        for i, byte in enumerate(body):
+            for b in range(8):
+                seen.setdefault((u[:1] == b" ", lead + body[:i], b, byte >> (b + 1)), [0, 0])[byte >> b & 1] += n
+    parts = {}
+    for r in dealt.collect():
+        parts.setdefault(r["part"], []).append((bytes(r["unit"]), r["trained"]))
+    assert len(trunk[0]) and len({p for p, us in parts.items() if any(u.startswith(b"https://www.") for u, _ in us)}) > 1
+    for us in parts.values():
+        got, at = mixing.Tokens([u for u, _ in us]).counted(np.array([n for _, n in us]), trunk), 0
+        for u, _ in us:
+            lead, body = mixing.split(u)
+            for i, byte in enumerate(body):
+                for b in range(8):
+                    assert got[b][:, at].tolist() == seen[u[:1] == b" ", lead + body[:i], b, byte >> (b + 1)]
+                at += 1
+
+
 def _distribution(mixer, units, counts, others):
     """Of all bytes in place of the last one of ``others``' first unit, by the model of ``units``."""
     return mixer.scores([*units, *others], np.array([*counts, *[0] * len(others)]))[len(units) :]
