@@ -307,10 +307,11 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         """Aligns ``pairs`` (a, b), which are new and stored; whether classes were joined."""
         nonlocal links, tried, label
         moved = False
+        made.append(pairs)
         if not pairs.isEmpty():
             found = stored(_aligned(pairs, words, k, similarity), "aligned")
             links, tried = links.unionAll(found), tried.unionAll(pairs)
-            made.extend((pairs, found))
+            made.append(found)
             joined = stored(apart(found, "a", "b").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "joined")
             moved = not joined.isEmpty()
             if moved:  # links between classes, one of each two, are all that moves labels
@@ -340,63 +341,81 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
             star = led.where(fits(F.col("size"), F.col("a_size"))).select("a", F.col("id").alias("b"), F.abs(F.col("size") - F.col("a_size")).alias("gap")).distinct()
             star = stored(apart(star.join(tried, ["a", "b"], "left_anti"), "a", "b").select("a", "b", "gap"), "stars")
             moved = False
-            if not step:
+            if not step and not star.isEmpty():
                 one = stored(star.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
                 moved = align(one)
                 star, old = stored(apart(star, "a", "b").select("a", "b", "gap").join(one, ["a", "b"], "left_anti"), "stars"), star
                 release(spark, old)
-            moved |= align(stored(star.select("a", "b"), "pairs"))
-            old, left = left, stored(apart(led.withColumnRenamed("id", "b"), "a", "b").select("key", F.col("b").alias("id"), "size", "place"), "left")
-            release(spark, leader, led, star)
+            moved |= align(star.select("a", "b"))
+            old, last = left, not moved or step + 1 == rounds
+            if not last:
+                left = stored(apart(led.withColumnRenamed("id", "b"), "a", "b").select("key", F.col("b").alias("id"), "size", "place"), "left")
+            release(spark, leader, led)
             if old is not groups:
                 release(spark, old)
-            if not moved:
+            if last:
                 break
-        release(spark, left)
 
     lead(member.withColumn("place", F.lit(0.0)), LEADERS[0])
 
-    # what is left: texts in buckets of several classes
-    named = member.select("key", "id", "size").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("times")).where("x != y")
-    several = stored(several.select("key", "times"), "several")
-    mixed = looked_up(named, several, ["key"], "times").where("times is not null").select("id", "size", "class_id").distinct()
-    mixed = stored(mixed, "members")
-    tokens = stored(_tokens(words, mixed.select("id"), k), "tokens")
-    texts_with = stored(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "frequencies")
-    held = looked_up(tokens, texts_with, ["token"], "times").where("times is not null")
-    held = held.groupBy("id").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"), F.sum(F.log("times")).alias("common"))
-    able = mixed.join(held, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
-    # of a text's rarest k-mers those that no other text holds come first; they can't be common to two
-    first = F.col("shared") - F.ceil(similarity * F.col("size") - SLACK) + 1
-    able = able.select("id", "size", "shared", "class_id", (-F.col("common") / F.col("size")).alias("place"), F.posexplode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("before", "token"))
-    able = prefixes = stored(able, "able")
-    # first whose k-mers the most texts hold: of edits of one text it is the one least edited
-    lead(able.select(F.col("token").alias("key"), "id", "size", "place"), LEADERS[1])
-    able = able.drop("class_id").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    several = able.groupBy("token").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("token")
-    some = able.join(several, "token", "left_semi").join(words.select(F.col("doc_id").alias("id"), "parity", F.array(*(_folded("parity", i) for i in range(FOLDED))).alias("fold")), "id")
-    some = stored(some.select("token", "id", "size", "shared", "before", "class_id", "parity", "fold"), "some")
-    x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "before", "class_id", "parity", "fold"))) for n in "ab")
-    open_ = _open(x, y, similarity)
-    open_ = open_.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b")).agg(F.min("gap").alias("gap"))
-    left = stored(open_.join(tried, ["a", "b"], "left_anti"), "open")
-    for most in (*TRIES, None):
-        now = apart(left, "a", "b")
-        if most is not None:  # of each two classes the pair of least bounds, then about ``most`` by hash
-            ends = [F.least("a_class", "b_class").alias("u"), F.greatest("a_class", "b_class").alias("v")]
-            now = now.select(*ends, F.struct("gap", "a", "b").alias("p"))
-            if most == 1:
-                now = now.groupBy("u", "v").agg(F.min("p").alias("p"))
-            else:
-                size = stored(now.groupBy("u", "v").agg(F.count("*").alias("times")), "sizes")
-                now = looked_up(now, size, ["u", "v"], "times").where(F.pmod(F.xxhash64("p"), F.lit(1 << 30)) * F.col("times") < (most << 30))
-            now = now.select("p.a", "p.b")
-        now = stored(now.select("a", "b"), "pairs")
-        align(now)
-        if most is not None:
-            old, left = left, stored(apart(left, "a", "b").select("a", "b", "gap").join(now, ["a", "b"], "left_anti"), "open")
-            release(spark, old)
+    def settle() -> None:
+        """What is left: texts in buckets of several classes. What finds none ends it: each further step on
+        an empty table costs the driver as much memory as one on a full table."""
+        named = member.select("key", "id", "size").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("times")).where("x != y")
+        several = stored(several.select("key", "times"), "several")
+        mixed = looked_up(named, several, ["key"], "times").where("times is not null").select("id", "size", "class_id").distinct()
+        mixed = stored(mixed, "members")
+        made.extend((several, mixed))
+        if mixed.isEmpty():
+            return
+        tokens = stored(_tokens(words, mixed.select("id"), k), "tokens")
+        texts_with = stored(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "frequencies")
+        made.extend((tokens, texts_with))
+        held = looked_up(tokens, texts_with, ["token"], "times").where("times is not null")
+        held = held.groupBy("id").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list(F.struct("times", "token"))).alias("tokens"), F.sum(F.log("times")).alias("common"))
+        able = mixed.join(held, "id").where(F.col("shared") >= similarity * F.col("size") - SLACK)
+        # of a text's rarest k-mers those that no other text holds come first; they can't be common to two
+        first = F.col("shared") - F.ceil(similarity * F.col("size") - SLACK) + 1
+        able = able.select("id", "size", "shared", "class_id", (-F.col("common") / F.col("size")).alias("place"), F.posexplode(F.slice("tokens", 1, first.cast("int"))["token"]).alias("before", "token"))
+        able = stored(able, "able")
+        made.append(able)
+        # first whose k-mers the most texts hold: of edits of one text it is the one least edited
+        lead(able.select(F.col("token").alias("key"), "id", "size", "place"), LEADERS[1])
+        able = able.drop("class_id").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        several = able.groupBy("token").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x != y").select("token")
+        some = able.join(several, "token", "left_semi").join(words.select(F.col("doc_id").alias("id"), "parity", F.array(*(_folded("parity", i) for i in range(FOLDED))).alias("fold")), "id")
+        some = stored(some.select("token", "id", "size", "shared", "before", "class_id", "parity", "fold"), "some")
+        made.append(some)
+        if some.isEmpty():
+            return
+        x, y = (some.select("token", *(F.col(c).alias(n + c) for c in ("id", "size", "shared", "before", "class_id", "parity", "fold"))) for n in "ab")
+        open_ = _open(x, y, similarity)
+        open_ = open_.groupBy(F.col("aid").alias("a"), F.col("bid").alias("b")).agg(F.min("gap").alias("gap"))
+        left = stored(open_.join(tried, ["a", "b"], "left_anti"), "open")
+        made.append(left)
+        for most in (*TRIES, None):
+            if left.isEmpty():
+                return
+            now = apart(left, "a", "b")
+            if most is not None:  # of each two classes the pair of least bounds, then about ``most`` by hash
+                ends = [F.least("a_class", "b_class").alias("u"), F.greatest("a_class", "b_class").alias("v")]
+                now = now.select(*ends, F.struct("gap", "a", "b").alias("p"))
+                if most == 1:
+                    now = now.groupBy("u", "v").agg(F.min("p").alias("p"))
+                else:
+                    size = stored(now.groupBy("u", "v").agg(F.count("*").alias("times")), "sizes")
+                    made.append(size)
+                    now = looked_up(now, size, ["u", "v"], "times").where(F.pmod(F.xxhash64("p"), F.lit(1 << 30)) * F.col("times") < (most << 30))
+                now = now.select("p.a", "p.b")
+            now = stored(now.select("a", "b"), "pairs")
+            align(now)
+            if most is not None:
+                old, left = left, stored(apart(left, "a", "b").select("a", "b", "gap").join(now, ["a", "b"], "left_anti"), "open")
+                made.append(left)
+                release(spark, old)
+
+    settle()
     ends = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     named = texts.select("digest", "id").join(label, "id", "left").join(ends, "id", "left")
     named = full.select("doc_id", "digest").join(named, "digest").select("doc_id", F.coalesce("class_id", "id").alias("class_id"), "n_links")
@@ -404,7 +423,7 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
         F.col("of").alias("doc_id"), F.coalesce("class_id", "of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     out = stored(out, "classes")
-    release(spark, every, full, texts, shared, member, words, mixed, tokens, texts_with, prefixes, some, left, label, *made)
+    release(spark, every, full, texts, shared, member, words, label, *made)
     return out
 
 

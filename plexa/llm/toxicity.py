@@ -37,6 +37,8 @@ SMOOTH = 1.0
 LEAST_DOCS = 3
 PENALTY = 2e-4
 ROUNDS = 40
+#: Features that the fit works on at a time, or one document's (at most 2 ** BITS).
+BLOCK = 1 << 18
 
 
 def folds(doc_id: Column, of: int) -> Column:
@@ -68,6 +70,19 @@ class Features:
         return found[self.seen[found] == place]
 
 
+def _kept(held: bytearray, lengths: np.ndarray, good: np.ndarray) -> tuple[bytearray, np.ndarray]:
+    """Features (of four bytes) of documents of ``lengths``, moved up in place over those that aren't good."""
+    at = to = 0
+    lengths = lengths.copy()
+    for i, n in enumerate(lengths.tolist()):
+        found = np.frombuffer(held, np.uint32, n, at)
+        found, at = found[good[found]].tobytes(), at + 4 * n
+        held[to : to + len(found)] = found
+        to, lengths[i] = to + len(found), len(found) // 4
+    del held[to:]
+    return held, lengths
+
+
 def fit(texts: list[str], labels: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
     """Weights of the features and the intercept."""
     logit = lambda p: float(np.log(p / (1 - p)))
@@ -75,36 +90,51 @@ def fit(texts: list[str], labels: np.ndarray, rate: float) -> tuple[np.ndarray,
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
         return np.zeros(size, np.float32), logit(min(max(rate, 1e-6), 1 - 1e-6))
-    features = Features()
-    rows = [features(t) for t in texts]
-    lengths = np.array([len(r) for r in rows])
-    flat_rows = np.concatenate(rows)
-    of = np.repeat(labels == 1, lengths)
-    in1 = np.bincount(flat_rows[of], minlength=size)
-    in0 = np.bincount(flat_rows[~of], minlength=size)
+    # the driver holds four bytes a feature, and what a block of documents takes beside it
+    features, held, lengths = Features(), bytearray(), np.zeros(len(texts), np.int64)
+    in1, in0 = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for i, text in enumerate(texts):
+        found = features(text)
+        (in1 if labels[i] == 1 else in0)[found] += 1
+        held += found.data
+        lengths[i] = len(found)
     ratio = np.log((in1 + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((in0 + SMOOTH) / (n0 + 2 * SMOOTH))
     ratio[in1 + in0 < LEAST_DOCS] = 0
-    keep = ratio[flat_rows] != 0
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)[keep]
-    col = flat_rows[keep].astype(np.int32)
-    del rows, flat_rows, of, keep
-    scale = ratio.astype(np.float32)[col]
+    held, lengths = _kept(held, lengths, ratio != 0)
+    col, scales = np.frombuffer(held, np.uint32), ratio.astype(np.float32)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+
+    def blocks():
+        """Of each block: its documents, and the document (from 0), column and scale of its features."""
+        at = 0
+        while at < len(lengths):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+            cols = col[ends[at] : ends[to]].astype(np.int64)
+            yield slice(at, to), np.repeat(np.arange(to - at), lengths[at:to]), cols, scales[cols]
+            at = to
+
+    def summed(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(doc, scale * w[cols], rows.stop - rows.start) for rows, doc, cols, scale in blocks()])
+
     weight = np.ones(len(labels)) * np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     # accelerated gradient descent; the step follows the largest squared norm of a row
-    count = len(labels)
-    norm = np.bincount(doc, scale * scale, count) + 1
+    norm = summed(scales) + 1
     step = 4.0 / float(np.sum(norm * weight))
     w, b, last_w, last_b = np.zeros(size), 0.0, np.zeros(size), 0.0
     for k in range(ROUNDS):
         pull = k / (k + 3)
         at, at_b = w + pull * (w - last_w), b + pull * (b - last_b)
-        z = np.bincount(doc, scale * at.astype(np.float32)[col], count) + at_b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
+        at32, slope, slope_b = at.astype(np.float32), np.zeros(size), []
+        for rows, doc, cols, scale in blocks():
+            z = np.bincount(doc, scale * at32[cols], rows.stop - rows.start) + at_b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * weight[rows]
+            np.add.at(slope, cols, (scale * error.astype(np.float32)[doc]).astype(np.float64))
+            slope_b.append(error)
         last_w, last_b = w, b
-        w = at - step * (np.bincount(col, scale * error.astype(np.float32)[doc], size) + PENALTY * at)
-        b = at_b - step * error.sum()
+        w = at - step * (slope + PENALTY * at)
+        b = at_b - step * np.concatenate(slope_b).sum()
     # the scale and intercept at which the scores are probabilities, with the labels at their rate
-    z = np.bincount(doc, scale * w.astype(np.float32)[col], count)
+    z = summed(w.astype(np.float32))
     share = np.where(labels == 1, rate / n1, (1 - rate) / n0) * len(labels)
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, c = 1.0, b
