@@ -359,8 +359,8 @@ def classes(docs: DataFrame, k: int = K, picked: int = PICKED, sketches: int = S
     lead(member.withColumn("place", F.lit(0.0)), LEADERS[0])
 
     def settle() -> None:
-        """What is left: texts in buckets of several classes. What finds none ends it: each further step on
-        an empty table costs the driver as much memory as one on a full table."""
+        """What is left: texts in buckets of several classes. A step that leaves none ends it, as
+        plans over empty tables take driver memory too."""
         named = member.select("key", "id", "size").join(label, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
         several = named.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("times")).where("x != y")
         several = stored(several.select("key", "times"), "several")
