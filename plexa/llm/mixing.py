@@ -56,8 +56,14 @@ BITS = 20
 PARTS = 16
 FAN = 32
 BLOCK_BYTES = 7 << 20
+#: A block's words are found in slices of so many bytes, as a word takes some 100 bytes on the way.
+SLICE_BYTES = 1 << 20
 #: Units that are learned and scored at a time, about.
 GROUP = 100_000
+#: Of which contexts are held at a time for so many units.
+PIECE = 10_000
+#: Bytes whose whole contexts are counted at a time, about.
+SECTION = 1 << 16
 #: Gates tell a context's count apart at 1, 4, 16, ...: so many levels.
 LEVELS = 8
 GATES = LEVELS * INPUTS + 1
@@ -112,6 +118,24 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _bags(texts: pa.RecordBatch, lower: np.ndarray):
+    """Hashes of the distinct words of ``texts``, these words, the distinct codes of first bytes; of every
+    text how many units, each unit's place among both and times; and the text's bytes."""
+    data, off = flat(texts.column("text"))
+    data = lower[data]
+    start, end, bounds = word_spans(data, off)
+    size = np.bincount(np.repeat(np.arange(len(texts)), np.diff(bounds)), end - start + 1, len(texts)).astype(np.int64) + 1
+    hashes, first, place = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+    words = [data[i:j].tobytes() for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+    found, row = _firsts(data, start, end, bounds)
+    codes, place2 = np.unique(found, return_inverse=True)
+    n = len(hashes) + len(codes)
+    bag = np.concatenate([np.repeat(np.arange(len(texts)), np.diff(bounds)) * n + place, row * n + (place2 + len(hashes))])
+    bag, times = np.unique(bag, return_counts=True)
+    of, unit = np.divmod(bag, n)
+    return hashes, words, codes, np.bincount(of, minlength=len(texts)), unit.astype(np.int32), times.astype(np.int32), size
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """A row for each block: its units (their lengths, bytes and training occurrences; ``words`` of them
     are words, the others first bytes), and its texts (doc_id, held out, bytes) as bags (unit's place, times)."""
@@ -123,35 +147,32 @@ def _blocks(docs: DataFrame) -> DataFrame:
         lower[65:91] += 32
         number = TaskContext.get().partitionId() << 32
         for chunk in chunks(batches, limit=BLOCK_BYTES):
-            data, off = flat(chunk.column("text"))
-            data = lower[data]
-            start, end, bounds = word_spans(data, off)
             held = chunk.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            row = np.repeat(np.arange(len(chunk)), np.diff(bounds))
-            _, first, place = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
-            found, row2 = _firsts(data, start, end, bounds)
-            seen = np.zeros(257 * 257 * 256, bool)
-            seen[found] = True
-            codes = np.flatnonzero(seen)
-            names = np.zeros(len(seen), np.int32)
-            names[codes] = np.arange(len(codes))
-            row, place = np.concatenate([row, row2]), np.concatenate([place, names[found] + len(first)])
-            n = len(first) + len(codes)
-            trained = np.bincount(place, ~held[row], n).astype(np.int64)
-            bag, times = np.unique(row * n + place, return_counts=True)
-            of, unit = np.divmod(bag, n)
-            size = np.bincount(row[: len(start)], end - start + 1, len(chunk)).astype(np.int64) + 1
-            raw = data.tobytes()
-            units = [raw[start[i] : end[i]] for i in first] + [_first_unit(c) for c in codes.tolist()]
-            inside = np.searchsorted(of, np.arange(len(chunk) + 1))
-            steps = np.diff(unit, prepend=0)
-            steps[inside[:-1][inside[:-1] < len(unit)]] = unit[inside[:-1][inside[:-1] < len(unit)]]
+            slices = [_bags(texts, lower) for texts in chunks([chunk], limit=SLICE_BYTES)]
+            hashes, words, codes, inside, unit, times, size = zip(*slices, strict=True)
+            _, first, word_at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            known, code_at = np.unique(np.concatenate(codes), return_inverse=True)
+            words = [w for some in words for w in some]
+            units = [words[i] for i in first.tolist()] + [_first_unit(c) for c in known.tolist()]
+            n, w, c, row = len(units), 0, 0, 0
+            trained, steps = np.zeros(n, np.int64), []
+            for h, k, held_units, at, many in zip(hashes, codes, inside, unit, times, strict=True):
+                # places keep their order: words by their hashes, then first bytes by their codes
+                places = np.concatenate([word_at[w : w + len(h)], code_at[c : c + len(k)] + len(first)])[at]
+                taught = np.repeat(~held[row : row + len(held_units)], held_units)
+                trained += np.bincount(places[taught], many[taught], n).astype(np.int64)
+                step = np.diff(places, prepend=0)
+                begins = (np.cumsum(held_units) - held_units)[held_units > 0]
+                step[begins] = places[begins]
+                steps.append(step.astype(np.int32))
+                w, c, row = w + len(h), c + len(k), row + len(held_units)
+            texts = [np.concatenate(x) for x in (size, inside, steps, times)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number]), pa.array([len(first)]),
                     pa.array([_planes(np.array([len(u) for u in units]))], pa.binary()), pa.array([zlib.compress(b"".join(units), 1)], pa.binary()), pa.array([_planes(trained)], pa.binary()),
                     pa.array([chunk.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())),
-                    pa.array([[_planes(x) for x in (size, np.diff(inside), steps, times)]], pa.list_(pa.binary())),
+                    pa.array([[_planes(x) for x in texts]], pa.list_(pa.binary())),
                 ],
                 ["block", "words", "lengths", "units", "trained", "doc_id", "held_out", "texts"],
             )
@@ -206,42 +227,62 @@ class Tokens:
     def y(self, bit: int) -> np.ndarray:
         return (self.data >> bit) & 1
 
-    def slots(self, bit: int, rows: slice = slice(None)) -> list[np.ndarray]:
+    def slots(self, bit: int) -> list[np.ndarray]:
         """The slot in each predictor's table."""
-        salt = self.node(bit)[rows] * np.uint64(0x9E3779B97F4A7C15)
-        return [((c[rows] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64) for c in self.contexts]
+        salt = self.node(bit) * np.uint64(0x9E3779B97F4A7C15)
+        return [((c ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int64) for c in self.contexts]
 
     def counted(self, trained: np.ndarray, trunk: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
         """(bits, 2, bytes): how often 0 and 1 came after each whole context, by ``trained`` of the units.
         The contexts of ``trunk`` (contexts, next bytes, how often) are counted by it alone."""
-        whole, byte, mass = self.whole, self.data, trained.astype(np.float64)[self.token]
-        if trunk is not None and len(trunk[0]):
-            known = np.unique(trunk[0])
-            hit = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
-            mass[hit] = 0
-            met = np.isin(trunk[0], whole[hit])
-            whole, byte, mass = (np.concatenate([own, more[met]]) for own, more in zip((whole, byte, mass), trunk, strict=True))
-        out = np.empty((8, 2, len(byte)), np.float32)
-        # by context and byte: what shares a context and the upper bits of the byte then stands together
-        order = np.lexsort((byte, whole))
-        whole, byte = whole[order], byte[order]
-        mass = np.concatenate([[0.0], np.cumsum(mass[order])])
-        fresh = np.concatenate([[True], whole[1:] != whole[:-1]])
+        return _counted(self.whole, self.data, trained.astype(np.float64)[self.token], trunk)
+
+
+def _counted(whole: np.ndarray, byte: np.ndarray, mass: np.ndarray, trunk: tuple[np.ndarray, ...] | None) -> np.ndarray:
+    """``Tokens.counted`` of whole contexts and next bytes that occur ``mass`` times."""
+    bytes_ = len(byte)
+    if trunk is not None and len(trunk[0]):
+        known = np.unique(trunk[0])
+        hit = known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole
+        mass = np.where(hit, 0, mass)
+        met = np.isin(trunk[0], whole[hit])
+        whole, byte, mass = (np.concatenate([own, more[met]]) for own, more in zip((whole, byte, mass), trunk, strict=True))
+    # by context and byte: what shares a context and the upper bits of the byte then stands together
+    order = np.lexsort((byte, whole))
+    out = np.empty((8, 2, len(byte)), np.float32)
+    for rows in _sections(whole, order):
+        own = byte[rows]
+        fresh = np.concatenate([[True], whole[rows[1:]] != whole[rows[:-1]]])
+        upto = np.concatenate([[0.0], np.cumsum(mass[rows])])
         for b in range(8):
-            upper = byte >> b  # with the bit itself
+            upper = own >> b  # with the bit itself
             edge = np.flatnonzero(fresh | np.concatenate([[True], upper[1:] != upper[:-1]]))
-            sums = np.diff(mass[np.append(edge, len(byte))])
+            sums = np.diff(upto[np.append(edge, len(rows))])
             bit = upper[edge] & 1
             node = np.cumsum(fresh[edge] | np.concatenate([[True], (upper[edge][1:] >> 1) != (upper[edge][:-1] >> 1)])) - 1
-            sizes = np.diff(np.append(edge, len(byte)))
+            sizes = np.diff(np.append(edge, len(rows)))
             for y in (0, 1):
-                out[b, y, order] = np.repeat(np.bincount(node, sums * (bit == y))[node], sizes)
-        return out[:, :, : len(self.data)]
+                out[b, y, rows] = np.repeat(np.bincount(node, sums * (bit == y))[node], sizes)
+    return out[:, :, :bytes_]
+
 
-    def batches(self, units: int):
-        """Slices of the predicted bytes, of about so many units each."""
-        edges = np.searchsorted(self.token, [*range(0, self.units, units), self.units])
-        yield from (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+def _sections(whole: np.ndarray, order: np.ndarray):
+    """``order``, by which equal contexts stand together, in sections that part none, of about ``SECTION`` or one context."""
+    at = 0
+    while at < len(order):
+        to = min(at + SECTION, len(order))
+        last = whole[order[to - 1]]
+        while to < len(order) and whole[order[to]] == last:
+            more = whole[order[to : to + SECTION]] == last
+            to += len(more) if more.all() else int(more.argmin())
+        yield order[at:to]
+        at = to
+
+
+def _pieces(units: list[bytes], counts: np.ndarray, size: int):
+    """Place, tokens and counts of about ``size`` units at a time: contexts are held for these alone."""
+    for at in range(0, len(units), size):
+        yield at, Tokens(units[at : at + size]), counts[at : at + size].astype(np.float64)
 
 
 def _trunk(children: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
@@ -294,16 +335,22 @@ class Mixer:
         low = np.minimum(x.astype(np.int64), STEPS - 2)
         return low, x - low
 
+    def whole(self, units: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """``Tokens.counted`` of units that occur ``counts`` times."""
+        pieces = [(tokens.whole, tokens.data, mass[tokens.token]) for _, tokens, mass in _pieces(units, counts, PIECE)]
+        whole, byte, mass = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        del pieces
+        return _counted(whole, byte, mass, self.trunk)
+
     def learn(self, units: list[bytes], counts: np.ndarray) -> None:
         """One online pass over units that occur ``counts`` times."""
-        tokens = Tokens(units)
-        whole = tokens.counted(counts, self.trunk)
-        every = counts.astype(np.float64)[tokens.token]
-        for rows in tokens.batches(2000):
-            mass = every[rows]
+        whole, done = self.whole(units, counts), 0
+        for _, tokens, mass in _pieces(units, counts, 2000):
+            mass, rows = mass[tokens.token], slice(done, done + len(tokens.data))
+            done = rows.stop
             for b in range(7, -1, -1):
-                y = tokens.y(b)[rows]
-                logits, gate = self.inputs(tokens.slots(b, rows), whole[b][:, rows], y, True)
+                y = tokens.y(b)
+                logits, gate = self.inputs(tokens.slots(b), whole[b][:, rows], y, True)
                 z = self.mixed(logits, gate)
                 error = 1 / (1 + np.exp(-z)) - y
                 weight = np.bincount(gate, mass, GATES)
@@ -320,19 +367,20 @@ class Mixer:
         """log10 probability of each unit. ``counts``: how often it occurs in training."""
         centre = 1 / (1 + np.exp(-np.linspace(-16, 16, STEPS)))
         adapted = (self.refined[:, :, 1] + 8 * centre) / (self.refined[:, :, 0] + 8)
-        tokens = Tokens(units)
-        whole = tokens.counted(counts, self.trunk)
-        total = np.zeros(len(tokens.data))
-        for rows in tokens.batches(20_000):
+        whole, done, out = self.whole(units, counts), 0, np.empty(len(units))
+        for first, tokens, _ in _pieces(units, counts, PIECE):
+            rows, total = slice(done, done + len(tokens.data)), np.zeros(len(tokens.data))
+            done = rows.stop
             for b in range(7, -1, -1):
-                y = tokens.y(b)[rows]
-                logits, gate = self.inputs(tokens.slots(b, rows), whole[b][:, rows], y, False)
+                y = tokens.y(b)
+                logits, gate = self.inputs(tokens.slots(b), whole[b][:, rows], y, False)
                 z = self.mixed(logits, gate)
                 low, share = self.step(z)
                 refined = adapted[gate, low] * (1 - share) + adapted[gate, low + 1] * share
                 p = np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * refined, 1e-7, 1 - 1e-7)
-                total[rows] += np.log10(np.where(y == 1, p, 1 - p))
-        return np.bincount(tokens.token, total, len(units))
+                total += np.log10(np.where(y == 1, p, 1 - p))
+            out[first : first + tokens.units] = np.bincount(tokens.token, total, tokens.units)
+        return out
 
 
 def halved(tables: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -578,6 +579,63 @@ def test_whole_contexts_count_the_corpus_however_it_is_dealt(spark, monkeypatch)
                 at += 1
 
 
+def _peak(f):
+    """What ``f`` returns, and the most bytes it held on the way."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_are_read_in_slices(monkeypatch):
+    """A block's texts take less than 14 bytes a byte on the way, and its units and bags are those of one slice."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(x) for x in rng.choice(list("abcdEFGH,."), (3000, 6))])
+    texts = [None, "", *(" ".join(x) for x in rng.choice(words, (2000, 500))), " \n", "one", "", " ".join(words[:200])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": texts, "held_out": [i % 10 == 0 for i in range(len(texts))]})
+    run = mixing._blocks(SimpleNamespace(mapInArrow=lambda run, kind: run))
+    assert 6 << 20 < batch.nbytes < mixing.BLOCK_BYTES
+    (got,), most = _peak(lambda: list(run([batch])))
+    assert most < 14 * batch.nbytes
+    monkeypatch.setattr(mixing, "SLICE_BYTES", mixing.BLOCK_BYTES)
+    (one,) = run([batch])
+    assert got.equals(one)
+    # and by plain counting: units, their training occurrences, and two texts
+    size, trained = mixing._numbers(got["lengths"][0].as_py()), mixing._numbers(got["trained"][0].as_py())
+    raw, ends = zlib.decompress(got["units"][0].as_py()), np.cumsum(size)
+    units = [raw[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    tokens = [(t or "").lower().encode().split() for t in texts]
+    pairs = [[b"", *t] for t in tokens]
+    bags = [Counter([*t, *(b" " + a[-2:] + b" " + b[:1] for a, b in zip(p, [*t, b"\n"], strict=True))]) for t, p in zip(tokens, pairs, strict=True)]
+    seen = sum((b for i, b in enumerate(bags) if i % 10), Counter())
+    assert len(set(units)) == len(units) and set(units) == set().union(*bags) and [seen[u] for u in units] == trained.tolist()
+    _, held_units, steps, times = map(mixing._numbers, got["texts"][0].as_py())
+    at = 0
+    for n, bag in zip(held_units.tolist(), bags, strict=True):
+        places = np.cumsum(steps[at : at + n].astype(np.uint32)).astype(np.uint32)
+        assert {units[p]: k for p, k in zip(places.tolist(), times[at : at + n].tolist(), strict=True)} == bag
+        at += n
+
+
+def test_groups_are_learned_and_scored_in_pieces():
+    """Less than 120 bytes for each byte that is predicted, whatever the contexts' number."""
+    rng = np.random.default_rng(1)
+    units = sorted({bytes(rng.integers(97, 120, n).tolist()) for n in rng.integers(3, 14, 50_000)})
+    counts = rng.integers(1, 50, len(units))
+    mixer = mixing.Mixer(mixing.halved(np.zeros((len(mixing.ORDERS), 1 << mixing.BITS, 2), np.float32)))
+    predicted = sum(map(len, units))
+    assert _peak(lambda: mixer.learn(units, counts))[1] < 120 * predicted
+    assert _peak(lambda: mixer.scores(units, counts))[1] < 120 * predicted
+
+
 def _distribution(mixer, units, counts, others):
     """Of all bytes in place of the last one of ``others``' first unit, by the model of ``units``."""
     return mixer.scores([*units, *others], np.array([*counts, *[0] * len(others)]))[len(units) :]
